@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodespan.llm import bpe
+from lodespan.llm import bpe, media, simhash
 from lodespan.session import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,8 +17,18 @@ def op2_bpe(spark: SparkSession, base: str) -> DataFrame:
     return bpe.digests(table(spark, base, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op3_gif(spark: SparkSession, base: str) -> DataFrame:
+    return media.digests(table(spark, base, "documents"))
+
+
+def op8_simhash(spark: SparkSession, base: str) -> DataFrame:
+    return simhash.digests(table(spark, base, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_gif": op3_gif,
+    "op8_simhash": op8_simhash,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
