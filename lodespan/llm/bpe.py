@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
@@ -223,7 +223,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "decoded") ->
         for whole in batches:
             for batch in _slices(whole, 500):
                 lists = batch.column(ids)
-                flat, ends = lists.values.to_pylist(), lists.offsets.to_pylist()
+                flat, ends = lists.flatten().to_pylist(), list(accumulate(lists.value_lengths().fill_null(0).to_pylist(), initial=0))
                 made = pa.array([enc.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), made], [*names, data])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodespan.llm import bpe, media, simhash
+from lodespan.llm import bpe, linededup, media, mixing, simhash
 from lodespan.session import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -21,6 +21,14 @@ def op3_gif(spark: SparkSession, base: str) -> DataFrame:
     return media.digests(table(spark, base, "documents"))
 
 
+def op5_linededup(spark: SparkSession, base: str) -> DataFrame:
+    return linededup.digests(table(spark, base, "documents"))
+
+
+def op7_mixing(spark: SparkSession, base: str) -> DataFrame:
+    return mixing.digests(table(spark, base, "documents"))
+
+
 def op8_simhash(spark: SparkSession, base: str) -> DataFrame:
     return simhash.digests(table(spark, base, "documents"))
 
@@ -28,8 +36,12 @@ def op8_simhash(spark: SparkSession, base: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_gif": op3_gif,
+    "op5_linededup": op5_linededup,
+    "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_linededup": linededup.SQL,
+}
