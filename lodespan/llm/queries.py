@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodespan.llm import bpe, linededup, media, mixing, simhash
+from lodespan.llm import bpe, linededup, media, mixing, quality, simhash
 from lodespan.session import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -33,12 +33,17 @@ def op8_simhash(spark: SparkSession, base: str) -> DataFrame:
     return simhash.digests(table(spark, base, "documents"))
 
 
+def op10_quality(spark: SparkSession, base: str) -> DataFrame:
+    return quality.digests(table(spark, base, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_gif": op3_gif,
     "op5_linededup": op5_linededup,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
+    "op10_quality": op10_quality,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
