@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodespan.llm import bpe, linededup, media, mixing, quality, simhash
+from lodespan.llm import bpe, licenses, linededup, media, mixing, quality, simhash, warc
 from lodespan.session import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_licenses(spark: SparkSession, base: str) -> DataFrame:
+    return licenses.digests(table(spark, base, "documents"))
+
+
 def op2_bpe(spark: SparkSession, base: str) -> DataFrame:
     return bpe.digests(table(spark, base, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -33,20 +37,28 @@ def op8_simhash(spark: SparkSession, base: str) -> DataFrame:
     return simhash.digests(table(spark, base, "documents"))
 
 
+def op9_warc(spark: SparkSession, base: str) -> DataFrame:
+    return warc.digests(table(spark, base, "pages"))
+
+
 def op10_quality(spark: SparkSession, base: str) -> DataFrame:
     return quality.digests(table(spark, base, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_bpe": op2_bpe,
     "op3_gif": op3_gif,
     "op5_linededup": op5_linededup,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
+    "op9_warc": op9_warc,
     "op10_quality": op10_quality,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op1_licenses": licenses.sql(),
     "op5_linededup": linededup.SQL,
+    "op9_warc": warc.SQL,
 }
