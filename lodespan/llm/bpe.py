@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,7 +27,9 @@ from pyspark.sql import types as T
 from lodespan.session import make_importable
 
 #: Entries that a worker keeps of encoded pre-tokens and of token pairs; beyond them it starts anew.
-CACHE = 200_000
+CACHE = 300_000
+#: Beginnings of pre-tokens, in bytes, whose entries are kept for words that begin alike.
+STEMS = (9, 6)
 
 
 class Vocabulary:
@@ -145,28 +148,47 @@ class Prefixes:
         return out[::-1]
 
 
-class Encoder:
-    """Encodes texts: each match of `pattern` separately; what no match covers is left out, as tiktoken does."""
+class _Pieces(dict):
+    """Encodings of pre-tokens, made when first asked for."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary, self.split, self._known = vocabulary, regex.compile(pattern).findall, {}
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary, self.stems = vocabulary, {}
 
-    def piece(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.vocabulary.ranks.get(data)
-        ids = (whole,) if whole is not None else tuple(Prefixes(self.vocabulary, data).ids())
+        ids = (whole,) if whole is not None else tuple(self._prefixes(data).ids())
         if len(piece) <= 64:
-            if len(self._known) >= CACHE:
-                self._known.clear()
-            self._known[piece] = ids
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = ids
         return ids
 
+    def _prefixes(self, data: bytes) -> Prefixes:
+        """Words with the same beginning share its entries."""
+        out = Prefixes(self.vocabulary)
+        for size in STEMS:
+            if stem := self.stems.get(data[:size]):
+                out.data, out.last = data[:size], stem[:]
+                break
+        out.append(data[len(out.data) :])
+        if len(self.stems) >= CACHE:
+            self.stems.clear()
+        for size in STEMS:
+            if size < len(data):
+                self.stems.setdefault(data[:size], out.last[:size])
+        return out
+
+
+class Encoder:
+    """Encodes texts: each match of `pattern` separately; what no match covers is left out, as tiktoken does."""
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str):
+        self.vocabulary, self.split, self._known = vocabulary, regex.compile(pattern).findall, _Pieces(vocabulary)
+
     def encode(self, text: str) -> list[int]:
-        known, pieces = self._known, self.split(text)
-        try:
-            return list(chain.from_iterable([known[p] for p in pieces]))
-        except KeyError:
-            return list(chain.from_iterable([known.get(p) or self.piece(p) for p in pieces]))
+        return list(chain.from_iterable(map(self._known.__getitem__, self.split(text))))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
@@ -201,10 +223,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
         for whole in batches:
             for batch in _slices(whole, 500):
                 lists = [enc.encode(t) if t else [] for t in batch.column(text).to_pylist()]
-                ends = [0]
-                for x in lists:
-                    ends.append(ends[-1] + len(x))
-                made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(list(chain.from_iterable(lists)), pa.int32()))
+                ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+                flat = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))
+                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), made], [*names, ids])
 
     return df.mapInArrow(run, _with(df, ids, T.ArrayType(T.IntegerType(), True)))
@@ -223,7 +244,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "decoded") ->
         for whole in batches:
             for batch in _slices(whole, 500):
                 lists = batch.column(ids)
-                flat, ends = lists.flatten().to_pylist(), list(accumulate(lists.value_lengths().fill_null(0).to_pylist(), initial=0))
+                flat, ends = lists.flatten().to_numpy(zero_copy_only=False).tolist(), list(accumulate(lists.value_lengths().fill_null(0).to_pylist(), initial=0))
                 made = pa.array([enc.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), made], [*names, data])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodespan.llm import bpe, licenses, linededup, media, mixing, quality, simhash, warc
+from lodespan.llm import bpe, licenses, linededup, media, mixing, quality, simhash, tokencount, toxicity, warc
 from lodespan.session import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +25,14 @@ def op3_gif(spark: SparkSession, base: str) -> DataFrame:
     return media.digests(table(spark, base, "documents"))
 
 
+def op4_tokens(spark: SparkSession, base: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, base, "documents").select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
+
+
+def op6_toxicity(spark: SparkSession, base: str) -> DataFrame:
+    return toxicity.digests(table(spark, base, "documents"), table(spark, base, "labels"))
+
+
 def op5_linededup(spark: SparkSession, base: str) -> DataFrame:
     return linededup.digests(table(spark, base, "documents"))
 
@@ -49,7 +57,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_bpe": op2_bpe,
     "op3_gif": op3_gif,
+    "op4_tokens": op4_tokens,
     "op5_linededup": op5_linededup,
+    "op6_toxicity": op6_toxicity,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
     "op9_warc": op9_warc,
