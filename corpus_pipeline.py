@@ -1,13 +1,59 @@
-"""The corpus pipeline, from documents to token ids."""
+"""The corpus pipeline, from documents to token ids: five stages, each on all that the one before kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodespan.llm import bpe, linededup, mixing, simhash, toxicity
 from lodespan.session import cut, table
 
-STAGES: list = []
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model doesn't predict to be toxic; it learns from labels and the texts of docs."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that line deduplication drops; n_chars is that of the new text. No document goes."""
+    kept = linededup.deduplicate(docs)
+    n_chars = F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*(n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest id."""
+    return simhash.deduplicate(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources uses them."""
+    return mixing.mix(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and ids_sha256 of each document, and decoded_sha256 of the ids decoded again."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
+    return bpe.decode(coded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line_dedup", without_repeated_lines),
+    ("simhash", without_near_copies),
+    ("mixing", mixed),
+    ("bpe", encoded),
+]
+
+#: SQL can express neither the toxicity model nor the fingerprints' components; tests compare with brute force.
 ORACLE_SQL = None
 
 
@@ -16,4 +62,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

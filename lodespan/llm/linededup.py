@@ -54,7 +54,7 @@ def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_le
 def keep_bitmaps(df: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """(doc, print, gone): for each document id and text that loses lines, the sorted positions of these lines."""
     gone = dropped_lines(df, key, text, min_length, min_documents)
-    return gone.groupBy("doc", "print").agg(F.array_sort(F.collect_list("at")).alias("gone"))
+    return gone.groupBy("doc", "print").agg(F.sort_array(F.collect_list("at")).alias("gone"))
 
 
 def _runs(gone: Column, size: Column) -> Column:
