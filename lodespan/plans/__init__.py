@@ -1,4 +1,5 @@
-"""Registered queries of the search corpus engine and their DuckDB SQL."""
+"""Registered queries of the search corpus engine and the DuckDB SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodespan.plans.corpus import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1 +1,56 @@
+"""Structured Streaming: ingest of document messages, and crawl states by domain."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from lodespan.operators import pages
+from lodespan.schemas import BLOBS, DOCUMENT_MESSAGE
+from lodespan.session import make_importable
+from lodespan.sources import tables
+
+
+def ingest(spark: SparkSession, messages: str, blobs: str, out: str, dead: str, checkpoint: str) -> None:
+    """Reads all JSON message files under `messages` that weren't read before, joins their blobs, and appends the chunks
+    to `out` and bad messages to `dead`; ends when none is left.
+
+    Offsets are checkpointed and each batch overwrites its own folder, so a batch that is run again changes nothing.
+    """
+    stream = spark.readStream.format("text").load(messages)
+
+    def take(batch: DataFrame, number: int) -> None:
+        good, bad = tables.from_messages(batch, DOCUMENT_MESSAGE)
+        parsed = pages.parse(tables.with_content(good, spark.read.schema(BLOBS).parquet(blobs)))
+        pages.chunks(parsed).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        bad.write.mode("overwrite").parquet(f"{dead}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def crawl_states(outcomes: DataFrame, delay_s: int = 2, longest: int = 300) -> DataFrame:
+    """(domain, fetches, errors, blocked_until) after each batch of outcomes (domain, at, limited), from keyed state.
+
+    errors counts rate limits in a row; a success resets it and the block. The clock is the data's: blocked_until is the
+    time of the last rate limit plus min(longest, delay * 2 ** errors before it).
+    """
+    make_importable(outcomes.sparkSession)
+
+    def update(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fetches, errors, blocked = state.get if state.exists else (0, 0, 0)
+        for row in pd.concat(frames).sort_values(["at", "seq"]).itertuples():
+            fetches += 1
+            if row.limited:
+                blocked = int(row.at) + min(longest, max(1, delay_s) * 2 ** min(errors, 9))
+                errors += 1
+            else:
+                errors = blocked = 0
+        state.update((fetches, errors, blocked))
+        yield pd.DataFrame({"domain": [key[0]], "fetches": [fetches], "errors": [errors], "blocked_until": [blocked]})
+
+    return outcomes.groupBy("domain").applyInPandasWithState(update, "domain long, fetches long, errors long, blocked_until long", "fetches long, errors long, blocked_until long", "update", GroupStateTimeout.NoTimeout)
