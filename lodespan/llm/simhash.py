@@ -60,6 +60,10 @@ def fingerprints(df: DataFrame, text: str = "text", made: str = "fp", size: int
     return df.mapInArrow(run, df.select(*names, F.lit(0).cast("long").alias(made)).schema)
 
 
+def _print(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
@@ -149,13 +153,14 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp, component): the smallest key of the documents that links of at most RADIUS bits reach from a row.
+    """(key, fp, component, print): the smallest key of the documents that links of at most RADIUS bits reach from a row,
+    and a hash of the row's text.
 
     Rows with one text share a fingerprint, so repeated rows and ties are joined; null and wordless texts have
     fingerprint 0 and are linked like any other. A row with a null key keeps its place and adds no key. Other columns are
     left out; an empty table gives an empty table.
     """
-    prints = cut(fingerprints(df.select(F.col(key).alias("key"), F.col(text).alias("text"))), "prints")
+    prints = cut(fingerprints(df.select(F.col(key).alias("key"), _print(text).alias("print"), F.col(text).alias("text"))), "prints")
     distinct = cut(prints.groupBy("fp").agg(F.min("key").alias("first")), "distinct")
     roots = stars(links(distinct.select("fp")))
     roots = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
@@ -163,17 +168,18 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     least = cut(firsts.groupBy("root").agg(F.min("first").alias("component")), "least")
     linked = cut(firsts.join(least, "root").select("fp", "component"), "linked")
     named = cut(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "first").alias("component")), "named")
-    return prints.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
+    return prints.join(named, "fp").select(F.col("key").alias(key), "fp", "component", "print")
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df whose key is the smallest of their component, with all columns as they are.
 
-    One document of each group of near-duplicates stays. Of rows that share the key and are kept, all stay; rows
-    with a null key are kept if nothing with a key is in their component.
+    One document of each group of near-duplicates stays; rows with the same key and text stay together. A row with a null
+    key is kept if nothing with a key is in its component.
     """
-    kept = components(df, key, text).where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("_kept")).distinct()
-    return df.join(cut(kept, "kept"), F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
+    found = components(df, key, text).where(F.col(key).eqNullSafe(F.col("component")))
+    kept = cut(found.select(F.col(key).alias("_kept"), F.col("print").alias("_print")).distinct(), "kept")
+    return df.join(kept, F.col(key).eqNullSafe(F.col("_kept")) & (_print(text) == F.col("_print")), "left_semi")
 
 
 def digests(df: DataFrame) -> DataFrame:
