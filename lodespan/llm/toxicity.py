@@ -2,7 +2,7 @@
 
 Terms are words and word beginnings of `BEGINNINGS` letters, and, as one chance hit means little where many mean much,
 marks for the second, fourth and eighth occurrence of each. The vocabulary is the `TERMS` terms that speak most
-strongly for the label among the examples, by their likelihood ratio.
+strongly for the label among the examples, by their likelihood ratio, and more strongly than chance would.
 
 Examples with one vector share an index entry that counts their labels. Entries lie in blocks; every term has its postings
 by block and the greatest weight in each block. A search adds up these weights to each block's bound, scores the blocks
@@ -35,6 +35,8 @@ MOST_TOXIC, MOST_CLEAN, TERMS, NEIGHBOURS = 4_000, 8_000, 1_500, 25
 BEGINNINGS, MARKS = (4, 5, 6), (2, 4, 8)
 #: Examples with the label that must hold a term, entries of a block, and the least number of examples per calibrated step.
 LEAST, BLOCK, STEP = 3, 64, 20
+#: Log-likelihood ratio that a term must reach: among a million candidates, chance alone hardly gives one.
+GAIN = 20.0
 THRESHOLD, EVIDENCE, CACHE = 0.3, 3, 200_000
 
 _words = re.compile(r"\w+").findall
@@ -112,7 +114,7 @@ class Index:
         self.starts = np.searchsorted(cells, np.arange(terms * max(1, self.blocks) + 1))
         self.greatest = np.zeros(terms * max(1, self.blocks))
         np.maximum.at(self.greatest, cells, self.weights)
-        self.greatest = self.greatest.reshape(terms, -1)
+        self.greatest = self.greatest.reshape(terms, max(1, self.blocks))
 
     def nearest(self, at: tuple[int, ...], weights: tuple[float, ...], wanted: int) -> tuple[np.ndarray, np.ndarray]:
         """Entries and cosines, best first: the fewest that stand for `wanted` examples, and all that tie with the last."""
@@ -237,7 +239,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     p, n = F.col("p"), F.col("n")
     part = lambda seen, of, whole: F.when(seen > 0, seen * F.log(seen * (toxic + clean) / (of * whole))).otherwise(0.0)
     gain = part(p, p + n, toxic) + part(n, p + n, clean) + part(toxic - p, toxic + clean - p - n, toxic) + part(clean - n, toxic + clean - p - n, clean)
-    telling = tallied.where((p >= LEAST) & (p * clean > n * toxic)).withColumn("gain", gain)
+    telling = tallied.where((p >= LEAST) & (p * clean > n * toxic)).withColumn("gain", gain).where(F.col("gain") >= GAIN)
     terms = telling.orderBy(F.desc("gain"), "term").limit(TERMS).collect()
     vectors = Vectors({r["term"]: math.log((1 + toxic + clean) / (1 + r["p"] + r["n"])) + 1 for r in terms})
     weight = {1: totals[1] / toxic, 0: totals[0] / clean}
