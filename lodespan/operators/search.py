@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodespan.functions import stem, text, urls
 from lodespan.operators import vectors
+from lodespan.session import make_importable
 
 LIMIT = 5
 
@@ -17,6 +23,26 @@ def overlap(query: Column, document: Column) -> Column:
     return F.size(F.array_intersect(words(query), words(document))) / F.size(words(query))
 
 
+class Scorer(Protocol):
+    """Scores texts for a query; loaded once for each Python worker by its factory."""
+
+    def __call__(self, query: str, texts: list[str]) -> list[float]: ...
+
+
+def rerank(df: DataFrame, query: str, factory: Callable[[], Scorer]) -> DataFrame:
+    """df with the column score of each text, by a model that reads query and text together."""
+    make_importable(df.sparkSession)
+    names = [c for c in df.columns if c != "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = factory()
+        for batch in batches:
+            scores = model(query, [t or "" for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(list(scores), pa.float64())], [*names, "score"])
+
+    return df.mapInArrow(run, T.StructType([df.schema[n] for n in names] + [T.StructField("score", T.DoubleType())]))
+
+
 def results(ranked: DataFrame) -> DataFrame:
     """Search results of rows (url, title, description, text, vector_distance, score), best first.
 

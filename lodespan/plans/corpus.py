@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodespan import streaming
 from lodespan.functions import stem, text, urls
-from lodespan.operators import frontier, pages, robots, search, vectors
+from lodespan.operators import crawl, frontier, pages, robots, search, vectors
 from lodespan.plans import fixtures
 from lodespan.session import make_importable, scratch, table
 from lodespan.sources import tables
@@ -276,6 +276,18 @@ def backoff_seconds(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("delay_s", "errors", robots.backoff(F.col("delay_s"), F.col("errors")).alias("backoff_s"))
 
 
+@query("crawl_round", f"""
+WITH l AS (SELECT DISTINCT dst_url AS url FROM ({_LINKS}) WHERE dst_url <> regexp_replace(src_url, '#.*$', '') AND dst_url NOT IN (SELECT url FROM pages))
+SELECT url, 'done' AS status FROM pages UNION ALL SELECT url, 'pending' FROM l
+""")
+def crawl_round(spark: SparkSession, base: str) -> DataFrame:
+    """The frontier after one round over all pages, replayed from the table; no rules forbid any."""
+    stored = tables.pages(spark, base)
+    rules = spark.createDataFrame([], "domain string, disallowed array<string>, allowed array<string>, crawl_delay_s long")
+    _, after = crawl.step(stored.select("url", F.lit(frontier.PENDING).alias("status")), rules, lambda urls_: crawl.replay(urls_, stored))
+    return after
+
+
 # ---- corpus analytics
 
 

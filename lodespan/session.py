@@ -36,9 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{Path(os.environ.get('TMPDIR', '/tmp')).resolve()}/lodespan-shared"
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new, not yet existing folder name in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, not yet existing folder name in this application's part of the shared folder."""
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has written to its part of the shared folder; results not yet stored elsewhere break."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:

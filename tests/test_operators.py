@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodespan import streaming
+from lodespan.engine import Engine
 from lodespan.functions import text
-from lodespan.operators import frontier, pages, robots, search, vectors
+from lodespan.operators import crawl, frontier, pages, robots, search, vectors
 from lodespan.plans import fixtures
 from lodespan.schemas import DOCUMENT_MESSAGE, FRONTIER
 from lodespan.sources import tables
@@ -138,3 +139,39 @@ def test_vector_table(spark):
     vectors.append(rows, "vectors_test")
     vectors.append(rows, "vectors_test", dedupe=True)
     assert spark.table("vectors_test").count() == 2
+
+
+def pretend():
+    def fetch_one(url):  # the outcome is in the address
+        if "success" in url:
+            return crawl.Fetched(crawl.SUCCESS, b"<a href=/next>x</a>", "text/html")
+        return crawl.Fetched(crawl.RATE_LIMITED) if "rate-limit" in url else crawl.Fetched(crawl.ERROR, error="no")
+
+    return lambda: fetch_one
+
+
+def test_fetch_outcomes(spark):
+    urls = spark.createDataFrame([(f"https://e.com/{x}",) for x in ("success", "rate-limit", "other")], "url string")
+    got = {r["url"][14:]: (r["status"], r["content"] and bytes(r["content"]), r["mime_type"], r["error"]) for r in crawl.fetch(urls, pretend()).collect()}
+    assert got == {"success": ("success", b"<a href=/next>x</a>", "text/html", None), "rate-limit": ("rate_limited", None, None, None), "other": ("error", None, None, "no")}
+    assert crawl.HttpFetcher(timeout_s=1)("http://127.0.0.1:9/").status == crawl.ERROR
+
+
+def test_crawl_round(spark):
+    known = spark.createDataFrame([(f"https://e.com/{x}", "pending") for x in ("success", "rate-limit", "denied/success")], FRONTIER)
+    rules = spark.createDataFrame([("e.com", ["/denied"], [], 3)], "domain string, disallowed array<string>, allowed array<string>, crawl_delay_s long")
+    got, after = crawl.step(known, rules, lambda urls: crawl.fetch(urls, pretend()))
+    assert [r["url"] for r in got.collect()] == ["https://e.com/success"]
+    assert dict(map(tuple, after.collect())) == {"https://e.com/success": "done", "https://e.com/denied/success": "done", "https://e.com/rate-limit": "pending", "https://e.com/next": "pending"}
+    bodies = crawl.robots_bodies(spark.createDataFrame([("a", "https://success/robots.txt"), ("b", "https://x/robots.txt")], "domain string, robots_url string"), pretend())
+    assert dict(map(tuple, bodies.collect())) == {"a": "<a href=/next>x</a>", "b": None}
+
+
+def test_engine(spark):
+    table = spark.createDataFrame([("u1", 0, None, "d", "green apples", [1.0, 0.0]), ("u2", 0, "t", None, "red pears", [0.0, 1.0])], "url string, chunk_id int, title string, description string, text string, vector array<float>")
+    engine = Engine(table, embedder=lambda texts: [[0.9, 0.0] for _ in texts])
+    assert [r["url"] for r in engine.knn([0.0, 1.0], 1).collect()] == ["u2"]
+    assert [r["url"] for r in engine.search("red pears", 2).collect()] == ["u2", "u1"]
+    assert '"title":null' in engine.search_json("apples", 1)[0]
+    assert engine.rerank("red", ["a red b", "c"]) == [1.0, 0.0] and engine.rerank("q", ["a", "bb"], lambda: lambda q, t: [len(x) for x in t]) == [1.0, 2.0]
+    assert len(Engine(table).embed("x y")) == 384
