@@ -5,7 +5,7 @@ marks for the second, fourth and eighth occurrence of each. The vocabulary is th
 strongly for the label among the examples, by their likelihood ratio, and more strongly than chance would.
 
 Examples with one vector share an index entry that counts their labels. Entries lie in blocks; every term has its postings
-by block and the greatest weight in each block. A search adds up these weights to each block's bound, scores the blocks
+by block and the greatest weight in each block. A search adds up these weights to each block's bound, scores blocks
 from the highest bound down and stops when no bound can reach the entries that it has, so its result is exact. The
 nearest entries, until they stand for `NEIGHBOURS` examples, vote with their similarity; the vote is calibrated by
 isotonic regression on the examples' own votes, each without itself. A document without any term gets the rate among
@@ -35,6 +35,8 @@ MOST_TOXIC, MOST_CLEAN, TERMS, NEIGHBOURS = 4_000, 8_000, 1_500, 25
 BEGINNINGS, MARKS = (4, 5, 6), (2, 4, 8)
 #: Examples with the label that must hold a term, entries of a block, and the least number of examples per calibrated step.
 LEAST, BLOCK, STEP = 3, 64, 20
+#: Blocks that a search scores first.
+FIRST_BLOCKS = 4
 #: Log-likelihood ratio that a term must reach: among a million candidates, chance alone hardly gives one.
 GAIN = 20.0
 THRESHOLD, EVIDENCE, CACHE = 0.3, 3, 200_000
@@ -120,22 +122,29 @@ class Index:
         """Entries and cosines, best first: the fewest that stand for `wanted` examples, and all that tie with the last."""
         if not at or not self.blocks:
             return np.empty(0, np.int64), np.empty(0)
-        rows, query = list(at), np.array(weights)
+        rows, query = np.array(at), np.array(weights)
         bounds = query @ self.greatest[rows]
         found, scores, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or bounds[block] < least - 1e-9:
+        order, place, size = np.argsort(-bounds, kind="stable"), 0, FIRST_BLOCKS
+        while place < len(order):
+            # Some blocks at once, four times as many each time: all postings of theirs are added up together.
+            blocks = order[place : place + size]
+            blocks = blocks[(bounds[blocks] > 0) & (bounds[blocks] >= least - 1e-9)]
+            if not len(blocks):
                 break
-            sums = np.zeros(BLOCK)
-            for term, weight in zip(rows, weights, strict=True):
-                cell = term * self.blocks + block
-                a, b = self.starts[cell], self.starts[cell + 1]
-                if a < b:
-                    sums[self.posted[a:b] - block * BLOCK] += weight * self.weights[a:b]
+            place, size = place + size, 4 * size
+            cells = (rows[:, None] * self.blocks + blocks).ravel()
+            starts = self.starts[cells]
+            counts = self.starts[cells + 1] - starts
+            ends = np.cumsum(counts)
+            at_ = np.arange(ends[-1]) + np.repeat(starts - ends + counts, counts)
+            given = np.repeat(np.repeat(query, len(blocks)), counts) * self.weights[at_]
+            where = np.repeat(np.tile(np.arange(len(blocks)) - blocks, len(rows)), counts) * BLOCK + self.posted[at_]
+            sums = np.bincount(where, given, len(blocks) * BLOCK)
             some = np.flatnonzero(sums > 0)
-            found, scores = np.append(found, some + block * BLOCK), np.append(scores, sums[some])
-            order = np.lexsort((found, -scores))
-            found, scores = found[order], scores[order]
+            found, scores = np.append(found, blocks[some // BLOCK] * BLOCK + some % BLOCK), np.append(scores, sums[some])
+            best = np.lexsort((found, -scores))
+            found, scores = found[best], scores[best]
             have = np.cumsum(self.examples[found])
             last = int(np.searchsorted(have, wanted))
             if last < len(found):
