@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine, a block-max inverted index, and calibrated votes.
 
 Terms are words and word beginnings of `BEGINNINGS` letters, and, as one chance hit means little where many mean much,
-marks for the second, fourth and eighth occurrence of each. The vocabulary is the `TERMS` terms that speak most
-strongly for the label among the examples, by their likelihood ratio, and more strongly than chance would.
+marks for the second, fourth and eighth occurrence of each. The vocabulary is all terms that speak for the label among the
+examples more strongly than chance would, by their likelihood ratio: the least gain grows with the number of terms tried.
 
 Examples with one vector share an index entry that counts their labels. Entries lie in blocks; every term has its postings
 by block and the greatest weight in each block. A search adds up these weights to each block's bound, scores blocks
@@ -31,14 +31,12 @@ from pyspark.sql import types as T
 
 from lodespan.session import cut, make_importable
 
-MOST_TOXIC, MOST_CLEAN, TERMS, NEIGHBOURS = 4_000, 8_000, 1_500, 25
+MOST_TOXIC, MOST_CLEAN, NEIGHBOURS = 4_000, 8_000, 25
 BEGINNINGS, MARKS = (4, 5, 6), (2, 4, 8)
 #: Examples with the label that must hold a term, entries of a block, and the least number of examples per calibrated step.
 LEAST, BLOCK, STEP = 3, 64, 20
 #: Blocks that a search scores first.
 FIRST_BLOCKS = 4
-#: Log-likelihood ratio that a term must reach: among a million candidates, chance alone hardly gives one.
-GAIN = 20.0
 THRESHOLD, EVIDENCE, CACHE = 0.3, 3, 200_000
 
 _words = re.compile(r"\w+").findall
@@ -143,6 +141,9 @@ class Index:
             sums = np.bincount(where, given, len(blocks) * BLOCK)
             some = np.flatnonzero(sums > 0)
             found, scores = np.append(found, blocks[some // BLOCK] * BLOCK + some % BLOCK), np.append(scores, sums[some])
+            if len(scores) > wanted:  # each entry stands for an example at least, so what lies below the best `wanted` is out
+                kept = scores >= np.partition(scores, -wanted)[-wanted] - 1e-9
+                found, scores = found[kept], scores[kept]
             best = np.lexsort((found, -scores))
             found, scores = found[best], scores[best]
             have = np.cumsum(self.examples[found])
@@ -200,6 +201,14 @@ def isotonic(points: list[tuple[float, float, float]]) -> tuple[np.ndarray, np.n
     return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
+def least_gain(candidates: int) -> float:
+    """Log-likelihood ratio that a term must reach, so that chance alone gives less than one of so many candidates.
+
+    Twice the ratio is about chi-squared with one degree of freedom: above g lie less than exp(-g) of the candidates.
+    """
+    return math.log(max(1, candidates))
+
+
 def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(4)) == 2
 
@@ -248,8 +257,10 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     p, n = F.col("p"), F.col("n")
     part = lambda seen, of, whole: F.when(seen > 0, seen * F.log(seen * (toxic + clean) / (of * whole))).otherwise(0.0)
     gain = part(p, p + n, toxic) + part(n, p + n, clean) + part(toxic - p, toxic + clean - p - n, toxic) + part(clean - n, toxic + clean - p - n, clean)
-    telling = tallied.where((p >= LEAST) & (p * clean > n * toxic)).withColumn("gain", gain).where(F.col("gain") >= GAIN)
-    terms = telling.orderBy(F.desc("gain"), "term").limit(TERMS).collect()
+    # Candidates are counted regardless of their labels, which is what makes their number tell of chance.
+    candidates = cut(tallied.where(p + n >= LEAST), "candidates")
+    telling = candidates.where((p >= LEAST) & (p * clean > n * toxic)).withColumn("gain", gain).where(F.col("gain") >= least_gain(candidates.count()))
+    terms = telling.orderBy(F.desc("gain"), "term").collect()
     vectors = Vectors({r["term"]: math.log((1 + toxic + clean) / (1 + r["p"] + r["n"])) + 1 for r in terms})
     weight = {1: totals[1] / toxic, 0: totals[0] / clean}
     rows = _vectors(examples.select("id", "toxic", "text"), vectors).collect()
@@ -305,7 +316,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = Fal
     score and evidence pass through.
     """
     make_importable(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by TERMS and the two sample sizes
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the two sample sizes
     names = [c for c in df.columns if c not in ("score", "evidence") and (keep_text or c != text)]
     arrow = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.float64())]))
 

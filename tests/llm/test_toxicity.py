@@ -92,3 +92,22 @@ def test_edges(spark):
     for some in (labels.limit(0), labels.where("toxic = 0")):
         assert {r["predicted"] for r in toxicity.digests(documents, some).collect()} == {0}
     assert toxicity.digests(documents.limit(0), labels).count() == 0
+
+
+def test_few_examples_suffice(spark):
+    chance, words = random.Random(18), [f"word{i}x" for i in range(400)]
+    rows = [(i, " ".join(chance.choices(words, k=30) + (["vilething"] if i % 12 == 0 else [])), int(i % 12 == 0)) for i in range(84)]
+    documents, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    fitted = sum(r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2)
+    assert 3 <= fitted <= 6  # fewer than a gain of 20 asks for
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.digests(documents, labels).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
+@pytest.mark.parametrize(("size", "found", "flagged"), [("sf0.001", 1, 0), ("sf0.01", 9, 4)])
+def test_recall_at_small_sizes(spark, size, found, flagged):
+    base = f"/root/testdata/{size}"
+    labels = spark.read.parquet(f"{base}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    rows = toxicity.digests(spark.read.parquet(f"{base}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").collect()
+    assert sum(r["predicted"] for r in rows if r["toxic"]) >= found
+    assert sum(r["predicted"] for r in rows if not r["toxic"]) <= flagged
