@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, share: float = SHARE, passes: int = PASSES, weight
     spent, lighter = (F.coalesce(F.sum(c).over(earlier), F.lit(0.0)) for c in ("ceiling", "weight"))
     budget, total = F.sum("source_size").over(whole) * share, F.sum("weight").over(whole)
     levels = ranked.withColumn("per_weight", (budget - spent) / (total - lighter))
-    level = F.min_by("per_weight", F.when(F.col("per_weight") <= F.col("ratio"), F.col("ratio"))).over(whole)
+    level = F.min_by("per_weight", F.when(F.col("per_weight") <= F.col("ratio"), F.struct("ratio", "lane"))).over(whole)
     return levels.withColumn("level", level).select("lane", "source_size", F.coalesce(F.least("ceiling", F.col("level") * F.col("weight")), "ceiling").alias("target"))
 
 

@@ -87,3 +87,11 @@ def test_mixed_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.digests(corpus(spark).limit(3))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan
+
+
+@pytest.mark.parametrize("sizes", [[300, 100, 200], [10, 20, 30, 10], [0, 0, 0, 5]])
+def test_targets_of_tied_ratios(spark, sizes):
+    rows = spark.createDataFrame([(f"0{chr(97 + i)}", s) for i, s in enumerate(sizes)], "lane string, source_size long")
+    got = [r["target"] for r in mixing.targets(rows).orderBy("lane").collect()]
+    want = water_fill(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sizes))], 1.5, 2)
+    assert got == pytest.approx(want) and sum(got) == pytest.approx(1.5 * sum(sizes))
