@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice
 from typing import Protocol
 
 import numpy as np
@@ -89,14 +91,23 @@ def nearest(table: DataFrame, query: list[float], limit: int, key: list[str], ve
 def nearest_of_many(table: DataFrame, queries: DataFrame, limit: int, key: str, query_key: str, vector: str = "vector") -> DataFrame:
     """(query_key, key, vector_distance, place) of the nearest rows for every query (query_key, vector).
 
-    Queries are a stated set of at most MOST_QUERIES; each task compares its rows with them in blocks and passes on the
-    `limit` best for each query, so the shuffle carries partitions * queries * limit rows whatever the table's size.
+    Queries are dealt in blocks of MOST_QUERIES, each with a pass over the table: a task compares its rows with a block's
+    queries and passes on the `limit` best for each, so the shuffle carries partitions * queries * limit rows.
     """
-    asked = queries.select(query_key, vector).limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
     make_importable(table.sparkSession)
-    ids, points = [r[0] for r in asked], np.array([r[1] for r in asked], np.float64)
+    asked = queries.select(query_key, vector).toLocalIterator()
+    parts = []
+    while block := list(islice(asked, MOST_QUERIES)):
+        parts.append(_nearest_of_block(table, [r[0] for r in block], np.array([r[1] for r in block], np.float64), limit, key, vector))
+    if not parts:
+        return table.select(F.col(key).alias(query_key), F.col(key), F.lit(0.0).alias("vector_distance"), F.lit(0).alias("place")).limit(0)
+    place = F.row_number().over(Window.partitionBy("q").orderBy("vector_distance", "k"))
+    ranked = reduce(DataFrame.unionAll, parts).withColumn("place", place).where(F.col("place") <= limit)
+    return ranked.select(F.col("q").alias(query_key), F.col("k").alias(key), "vector_distance", "place")
+
+
+def _nearest_of_block(table: DataFrame, ids: list[int], points: np.ndarray, limit: int, key: str, vector: str) -> DataFrame:
+    """(q, k, vector_distance): the `limit` best rows of each partition for every point."""
     shared = table.sparkSession.sparkContext.broadcast((ids, points))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,11 +130,7 @@ def nearest_of_many(table: DataFrame, queries: DataFrame, limit: int, key: str,
             if found:
                 yield pa.RecordBatch.from_pydict({"q": pa.array([name] * len(found), pa.int64()), "k": pa.array([k for _, k in found], pa.int64()), "vector_distance": pa.array([d for d, _ in found], pa.float64())})
 
-    if not ids:
-        return table.select(F.col(key).alias(query_key), F.col(key), F.lit(0.0).alias("vector_distance"), F.lit(0).alias("place")).limit(0)
-    tops = table.select(F.col(key).cast("long"), vector).mapInArrow(run, "q long, k long, vector_distance double")
-    place = F.row_number().over(Window.partitionBy("q").orderBy("vector_distance", "k"))
-    return tops.withColumn("place", place).where(F.col("place") <= limit).select(F.col("q").alias(query_key), F.col("k").alias(key), "vector_distance", "place")
+    return table.select(F.col(key).cast("long"), vector).mapInArrow(run, "q long, k long, vector_distance double")
 
 
 def open_table(spark, name: str, schema: T.StructType) -> DataFrame:

@@ -175,3 +175,12 @@ def test_engine(spark):
     assert '"title":null' in engine.search_json("apples", 1)[0]
     assert engine.rerank("red", ["a red b", "c"]) == [1.0, 0.0] and engine.rerank("q", ["a", "bb"], lambda: lambda q, t: [len(x) for x in t]) == [1.0, 2.0]
     assert len(Engine(table).embed("x y")) == 384
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    rows = spark.createDataFrame([(n, [float(n % 7), float(n % 5)]) for n in range(60)], "vec_id long, vector array<float>")
+    asked = rows.where("vec_id % 6 = 0")
+    whole = sorted(map(tuple, vectors.nearest_of_many(rows, asked.withColumnRenamed("vec_id", "query_id"), 3, "vec_id", "query_id").collect()))
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 4)
+    dealt = sorted(map(tuple, vectors.nearest_of_many(rows, asked.withColumnRenamed("vec_id", "query_id"), 3, "vec_id", "query_id").collect()))
+    assert len(whole) == 30 and dealt == whole
