@@ -8,8 +8,8 @@ of a normal sample, distances are scaled down to it.
 
 A step reads the small table of vectors twice: for a histogram of distances per group, whose bin edge bounds the bulk,
 and for the moments of the bulk. Both are partial aggregates, so a group with a third of all rows is no burden. Groups
-with fewer than max(MIN_GROUP, rows / MOST_GROUPS) rows are joined by language, what is left then into one group: at most
-2 * MOST_GROUPS + 1 estimates exist whatever the data, which is what bounds the broadcast tables.
+with fewer than MIN_GROUP rows are pooled by language, what is left then into one group; this depends on the group alone,
+not on the size of the corpus. The estimates are written tables joined by group: the planner sees their size.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from lodespan.session import cut
 
 WINDOW = 8
-#: Share of a group's rows that the estimate fits, concentration steps, smallest fitted group, and most fitted groups.
-BULK, STEPS, MIN_GROUP, MOST_GROUPS = 0.75, 4, 200, 1000
+#: Share of a group's rows that the estimate fits, concentration steps, and smallest fitted group.
+BULK, STEPS, MIN_GROUP = 0.75, 4, 200
 #: Squared distance beyond which a document is rejected: the 1 - 1e-6 quantile of chi-squared with 5 degrees of freedom.
 CUTOFF = 35.89
 #: Median of chi-squared with 5 degrees of freedom.
@@ -115,12 +115,11 @@ def _grouped(rows: DataFrame, lang: str, source: str) -> DataFrame:
     """rows with the column group: language and source if it has rows enough, else the language's rest, else '*'."""
     own, tongue = F.concat_ws("/", _named(lang), _named(source)), _named(lang)
     counts = cut(rows.groupBy(own.alias("own"), tongue.alias("tongue")).agg(F.count(F.lit(1)).alias("n")), "groups")
-    least = max(MIN_GROUP, -(-(counts.agg(F.sum("n")).first()[0] or 0) // MOST_GROUPS))
-    large = cut(counts.where(F.col("n") >= least).select(F.col("own").alias("group")), "large")
-    placed = rows.withColumns({"_own": own, "_tongue": tongue}).join(F.broadcast(large), F.col("_own") == F.col("group"), "left").withColumnRenamed("group", "_large")
-    rest = counts.join(F.broadcast(large), F.col("own") == F.col("group"), "left_anti").groupBy("tongue").agg(F.sum("n").alias("n"))
-    pooled = cut(rest.where(F.col("n") >= least).select(F.col("tongue").alias("group")), "pooled")
-    placed = placed.join(F.broadcast(pooled), F.col("_tongue") == F.col("group"), "left")
+    large = cut(counts.where(F.col("n") >= MIN_GROUP).select(F.col("own").alias("group")), "large")
+    placed = rows.withColumns({"_own": own, "_tongue": tongue}).join(large, F.col("_own") == F.col("group"), "left").withColumnRenamed("group", "_large")
+    rest = counts.join(large, F.col("own") == F.col("group"), "left_anti").groupBy("tongue").agg(F.sum("n").alias("n"))
+    pooled = cut(rest.where(F.col("n") >= MIN_GROUP).select(F.col("tongue").alias("group")), "pooled")
+    placed = placed.join(pooled, F.col("_tongue") == F.col("group"), "left")
     return placed.withColumn("group", F.coalesce("_large", "group", F.lit("*"))).drop("_own", "_tongue", "_large")
 
 
@@ -155,11 +154,11 @@ def _start(rows: DataFrame) -> DataFrame:
     """(group, centre, precision) from medians and median absolute deviations, without covariances."""
     names, size = list(FEATURES), len(FEATURES)
     centre = cut(_median(rows, names, "centre"), "centre")
-    off = rows.join(F.broadcast(centre), "group").select("group", *(F.abs(F.col(n) - F.col("centre")[i]).alias(n) for i, n in enumerate(names)))
+    off = rows.join(centre, "group").select("group", *(F.abs(F.col(n) - F.col("centre")[i]).alias(n) for i, n in enumerate(names)))
     spread = _median(off, names, "spread")
     floors = F.array(*(F.lit(f) for f in FEATURES.values()))
     scaled = F.zip_with("spread", floors, lambda s, f: F.lit(1.0) / (F.lit(1.4826 * 1.4826) * s * s + f * f))
-    made = centre.join(F.broadcast(cut(spread.select("group", scaled.alias("inverse")), "spread")), "group")
+    made = centre.join(cut(spread.select("group", scaled.alias("inverse")), "spread"), "group")
     zero = F.lit(0.0)
     return made.select("group", "centre", F.array(*(F.array(*(F.col("inverse")[i] if i == j else zero for j in range(size))) for i in range(size))).alias("precision"))
 
@@ -200,18 +199,18 @@ def estimates(rows: DataFrame, steps: int = STEPS, bulk: float = BULK) -> DataFr
     names = list(FEATURES)
     now = cut(_start(rows), "estimate")
     for _ in range(steps):
-        far = rows.join(F.broadcast(now), "group").select("group", *names, _bin(_distance()).alias("bin"))
+        far = rows.join(now, "group").select("group", *names, _bin(_distance()).alias("bin"))
         edge = cut(_quantile(far, ["group"], "bin", bulk).withColumnRenamed("bin", "edge"), "edge")
-        near = far.join(F.broadcast(edge), "group").where("bin <= edge")
+        near = far.join(edge, "group").where("bin <= edge")
         moments = near.groupBy("group").agg(
             *(F.avg(n).alias(f"m{i}") for i, n in enumerate(names)),
             *(F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for j in range(len(names)) for i in range(j, len(names))),
         )
         now = cut(_inverted(cut(moments, "moments")), "estimate")
-    far = rows.join(F.broadcast(now), "group").select("group", _bin(_distance()).alias("bin"))
+    far = rows.join(now, "group").select("group", _bin(_distance()).alias("bin"))
     middle = cut(_quantile(far, ["group"], "bin", 0.5).select("group", (_edge(F.col("bin")) / MEDIAN).alias("scale")), "scale")
     counted = cut(rows.groupBy("group").agg(F.count(F.lit(1)).alias("fitted")), "fitted")
-    return cut(now.join(F.broadcast(middle), "group").join(F.broadcast(counted), "group"), "estimates")
+    return cut(now.join(middle, "group").join(counted, "group"), "estimates")
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -225,7 +224,7 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     rows = cut(statistics(df.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))), "statistics")
     grouped = cut(_grouped(_vector(rows).withColumn("base_failed", base_failed()), "lang", "source"), "vectors")
     fit = estimates(grouped.where("not base_failed").select("group", *FEATURES))
-    joined = grouped.join(F.broadcast(fit), "group", "left")
+    joined = grouped.join(fit, "group", "left")
     distance = F.when(F.col("fitted") >= MIN_FIT, _distance() / F.greatest(F.col("scale"), F.lit(1.0)))
     judged = joined.withColumn("distance", distance)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))

@@ -76,3 +76,9 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "x", "en", "s")], "doc_id long, text string, lang string, source string")
     plan = quality.statistics(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan
+
+
+def test_groups_do_not_depend_on_the_rest(spark):
+    source = F.when(F.col("id") < 250, "small").otherwise("large")
+    rows = spark.range(300_000).select(F.lit("en").alias("lang"), source.alias("source"))
+    assert {r["group"]: r["count"] for r in quality._grouped(rows, "lang", "source").groupBy("group").count().collect()} == {"=en/=small": 250, "=en/=large": 299_750}
