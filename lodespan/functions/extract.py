@@ -188,6 +188,14 @@ class Pdf:
             return self.objects.get(int(ref[1]))
         return rest
 
+    def contents(self, page: bytes) -> bytes:
+        """A page's content streams one after the other: /Contents is a reference or an array of references."""
+        source = (self.value(page, b"Contents") or b"").lstrip()
+        if not source.startswith(b"["):
+            return self.stream(source)
+        refs = _REFERENCE.finditer(source[: source.find(b"]")])
+        return b"\n".join(self.stream(self.objects.get(int(ref[1]), b"")) for ref in refs)
+
     def pages(self) -> list[bytes]:
         return [o for o in self.objects.values() if re.search(rb"/Type\s*/Page(?![A-Za-z])", o)]
 
@@ -264,8 +272,7 @@ def parse_pdf(content: bytes, url: str) -> Parsed:
     information; without a title, one from the address. Raises BadPdf. Fonts with encodings of their own aren't mapped."""
     pdf, lines = Pdf(content), []
     for page in pdf.pages():
-        source = pdf.value(page, b"Contents")
-        shown = pdf.stream(source) if source else b""
+        shown = pdf.contents(page)
         parts = []
         for found in re.finditer(rb"\((?:\\.|[^\\()]|\([^()]*\))*\)|<[0-9A-Fa-f\s]+>", shown, re.S):
             if text := pdf_string(found[0]):

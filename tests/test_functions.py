@@ -108,3 +108,8 @@ def test_english_stems(word, stem_):
 def test_settings():
     assert Settings.from_env({"LODESPAN_SHARDS": "4", "OTHER": "x"}).shards == 4 and Settings().crawl_delay_s == 2
     assert Settings.shard_of_host("crawler-3") == 3 and Settings.shard_of_host("host") == 0
+
+
+@pytest.mark.parametrize("pdf", [fixtures.PDF_TWO_STREAMS, fixtures.PDF_TWO_STREAMS.replace(b"[5 0 R 7 0 R]", b"8 0 R").replace(b"trailer", b"8 0 obj\n[5 0 R 7 0 R]\nendobj\ntrailer")])
+def test_pdf_content_of_several_streams(pdf):
+    assert extract.parse(pdf, "application/pdf", "https://example.com/a.pdf").text == "Hello from a page in two streams"
