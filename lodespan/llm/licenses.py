@@ -7,7 +7,9 @@ licence's. License notices, single lines that name a licence, are looked up by t
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,6 +124,19 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 
 For more information, please refer to <https://unlicense.org/>""",
 }
+#: Longer texts lie beside this module, one file for each SPDX id.
+TEXTS |= {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+#: Lines at which a text's terms end; what follows tells how to apply them and is often left out, with or without the line.
+_ENDS = re.compile("(?m)^ *(END OF TERMS AND CONDITIONS|ADDENDUM: How to use this License for your documents)")
+
+
+def forms(text: str) -> set[str]:
+    """A licence's text as it is met: with and without its title line, and without what follows its terms."""
+    title, _, body = text.partition("\n\n")
+    ends = [(m.start(), m.end()) for m in _ENDS.finditer(text)][-1:]
+    return {text, body if title.endswith("License") else text} | {text[:place] for end in ends for place in end}
+
 
 #: Lines that put a work under a licence, by SPDX id.
 NOTICES = {
@@ -132,10 +147,34 @@ NOTICES = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"),
     "BSD-3-Clause": ("SPDX-License-Identifier: BSD-3-Clause",),
 }
+#: Names of licences in a notice, and what stands before them.
+NAMES = {
+    "MIT": ("MIT License",),
+    "ISC": ("ISC License",),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
+    "BSD-2-Clause": ("BSD 2-Clause License",),
+    "BSD-3-Clause": ("BSD 3-Clause License",),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
+    "GPL-2.0-only": ("GNU General Public License, version 2", "GNU General Public License v2.0"),
+    "GPL-3.0-only": ("GNU General Public License, version 3", "GNU General Public License v3.0"),
+    "LGPL-2.1-only": ("GNU Lesser General Public License, version 2.1",),
+    "LGPL-3.0-only": ("GNU Lesser General Public License, version 3",),
+    "CC-BY-4.0": ("CC BY 4.0", "Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+}
+_BEFORE = ("Licensed under", "Released under", "This work is licensed under", "This project is licensed under", "This software is licensed under")
+for _id in sorted(TEXTS.keys() | NAMES.keys() | NOTICES.keys()):
+    _named = {f"{before}{the}{name}" for before in _BEFORE for the in (" ", " the ", " a ") for name in NAMES.get(_id, ())}
+    if _id.endswith("-only"):
+        _later = _id.removesuffix("-only") + "-or-later"
+        NOTICES[_later] = (f"SPDX-License-Identifier: {_later}",)
+    NOTICES[_id] = tuple(dict.fromkeys([*NOTICES.get(_id, ()), *sorted(_named), f"SPDX-License-Identifier: {_id}"]))
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that only states a copyright: the sign or word, then a year or another sign, or "all rights reserved" alone.
-COPYRIGHT = "(?m)^[ \\t*#/;-]*((copyright|\\(c\\)|©)[ \\t]*(\\(c\\)|©|[0-9]{4}|<year>|\\[year\\]|\\[yyyy\\])[^\\n]*|all rights reserved\\.?[ \\t\\r]*)$"
+#: A line that only states a copyright: the sign or word, then a year or another sign, or "all rights reserved" alone,
+#: or the word, a name and years at the line's end.
+COPYRIGHT = "(?m)^[ \\t*#/;-]*((copyright|\\(c\\)|©)[ \\t]*(\\(c\\)|©|[0-9]{4}|<year>|\\[year\\]|\\[yyyy\\])[^\\n]*|copyright[ \\t]+[^\\n0-9]{1,80}[ \\t,](19|20)[0-9]{2}([-, \\t]+(19|20)[0-9]{2})*[.,]?([ \\t]*all rights reserved\\.?)?[ \\t\\r]*|all rights reserved\\.?[ \\t\\r]*)$"
 #: What is left of a text besides its words: ASCII punctuation and white space, and typographic signs.
 PUNCTUATION = "[\\x00-/:-@\\[-`{-\\x7F‘’“”–—…©®™ ]+"
 
@@ -154,9 +193,9 @@ def digest(wording: Column) -> Column:
 
 
 def known_texts(spark: SparkSession) -> DataFrame:
-    """(digest, license): of every text in TEXTS, with and without its title line. A fixed, small table."""
-    rows = [(i, t) for i, text in TEXTS.items() for t in {text, text.partition("\n\n")[2] if text.partition("\n\n")[0].endswith("License") else text}]
-    return spark.createDataFrame(rows, "license string, text string").select(digest(canonical(F.col("text"))).alias("digest"), "license")
+    """(digest, license): of every text in TEXTS, in all its forms. A fixed, small table."""
+    rows = [(i, t) for i, text in TEXTS.items() for t in forms(text)]
+    return spark.createDataFrame(rows, "license string, text string").select(digest(canonical(F.col("text"))).alias("digest"), "license").distinct()
 
 
 def known_notices(spark: SparkSession) -> DataFrame:

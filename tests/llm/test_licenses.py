@@ -49,3 +49,12 @@ def test_equals_its_sql(spark):
 def test_every_text_is_its_own(spark):
     known = licenses.known_texts(spark).collect()
     assert len({r["digest"] for r in known}) == len(known)
+
+
+def test_long_texts_names_before_years_and_more_notices(spark):
+    gpl, mit = licenses.TEXTS["GPL-3.0-only"], licenses.TEXTS["MIT"].partition("\n\n")[2]
+    texts = [gpl, gpl[: gpl.index("END OF TERMS")], licenses.TEXTS["Apache-2.0"].upper(), licenses.TEXTS["MPL-2.0"], "Copyright Jane Doe 2020\n\n" + mit, "# Copyright Jane Doe, 2019-2020. All rights reserved.\n" + mit, "copyright law of 1976 applies\n" + mit]
+    df = spark.createDataFrame(list(enumerate([*texts, "# SPDX-License-Identifier: LGPL-2.1-or-later\nThis project is licensed under the Apache 2.0 License"])), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.digests(df).collect()}
+    assert [got[n]["license"] for n in range(8)] == ["GPL-3.0-only", "GPL-3.0-only", "Apache-2.0", "MPL-2.0", "MIT", "MIT", None, None]
+    assert got[7]["notices"] == "Apache-2.0,LGPL-2.1-or-later"
