@@ -1,25 +1,26 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine, a block-max inverted index, and calibrated votes.
 
-Terms are words and word beginnings of `BEGINNINGS` letters, and, as one chance hit means little where many mean much,
-marks for the second, fourth and eighth occurrence of each. The vocabulary is all terms that speak for the label among the
-examples more strongly than chance would, by their likelihood ratio: the least gain grows with the number of terms tried.
+Terms are the words of the whole text in lower case and their beginnings of `BEGINNINGS` letters. A term weighs its number
+of occurrences times its inverse document frequency among the examples; every term that two examples hold counts, whatever
+their labels. Very common terms are the only exception: the frequency from which on a term weighs nothing is one of
+`FLOORS`, the number of nearest examples that vote one of `NEIGHBOURS`: those with the least leave-one-out error.
 
 Examples with one vector share an index entry that counts their labels. Entries lie in blocks; every term has its postings
-by block and the greatest weight in each block. A search adds up these weights to each block's bound, scores blocks
-from the highest bound down and stops when no bound can reach the entries that it has, so its result is exact. The
-nearest entries, until they stand for `NEIGHBOURS` examples, vote with their similarity; the vote is calibrated by
-isotonic regression on the examples' own votes, each without itself. A document without any term gets the rate among
-examples without any.
+by block and the greatest weight in each block. A search adds up these weights to each block's bound, scores the blocks
+with the highest bounds, and then only those whose bound can reach the entries that it has, so its result is exact. The
+nearest entries, until they stand for so many examples, vote with their similarity, which falls with the distance of
+the two unit vectors; the vote is calibrated by isotonic regression on the examples' own votes, each without itself. A
+document without any term gets the rate among examples without any.
 
 The fit uses at most MOST_TOXIC and MOST_CLEAN examples, drawn by a hash of their ids, and weighs the two classes by their
-true numbers. All else covers all documents.
+true numbers. All else covers all documents. FLOORS, NEIGHBOURS and BEGINNINGS were chosen by five-fold cross-validation
+among rows that aren't held out.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,15 +30,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodespan.llm.frames import numbered, place
 from lodespan.session import cut, make_importable
 
-MOST_TOXIC, MOST_CLEAN, NEIGHBOURS = 4_000, 8_000, 25
-BEGINNINGS, MARKS = (4, 5, 6), (2, 4, 8)
-#: Examples with the label that must hold a term, entries of a block, and the least number of examples per calibrated step.
-LEAST, BLOCK, STEP = 3, 64, 20
+MOST_TOXIC, MOST_CLEAN = 2_000, 4_000
+BEGINNINGS = (4, 6)
+#: What the fit chooses from: shares of the examples from which on a term weighs nothing, and numbers of nearest examples.
+FLOORS, NEIGHBOURS = (0.06, 0.25), (8, 50)
+#: Examples that must hold a term, entries of a block, and the least number of examples per calibrated step.
+LEAST, BLOCK, STEP = 2, 64, 5
 #: Blocks that a search scores first.
-FIRST_BLOCKS = 4
-THRESHOLD, EVIDENCE, CACHE = 0.3, 3, 200_000
+FIRST_BLOCKS = 8
+THRESHOLD, EVIDENCE = 0.3, 3
+#: Bytes that a worker may keep for words with their terms, and what a kept word takes besides its letters and terms.
+KEPT_BYTES, WORD_BYTES = 24_000_000, 220
 
 _words = re.compile(r"\w+").findall
 
@@ -46,108 +52,103 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)]
 
 
-def term_counts(text: str | None) -> Counter:
-    """Terms of a text with their numbers, without marks."""
-    out: Counter = Counter()
-    for word, n in Counter(_words((text or "").lower())).items():
-        for term in terms_of(word):
-            out[term] += n
-    return out
+class _Known(dict):
+    """Coordinates of words as the bytes of an int32 array, found when first asked for; beyond KEPT_BYTES it starts anew."""
+
+    def __init__(self, number: dict[str, int]):
+        super().__init__()
+        self.number, self.bytes = number, 0
 
+    def __missing__(self, word: str) -> bytes:
+        if self.bytes > KEPT_BYTES:
+            self.clear()
+            self.bytes = 0
+        found = self[word] = np.array([i for i in map(self.number.get, terms_of(word)) if i is not None], np.int32).tobytes()
+        self.bytes += WORD_BYTES + 4 * len(word) + len(found)
+        return found
 
-def marked(counts: Counter) -> Iterator[str]:
-    for term, n in counts.items():
-        yield term
-        for mark in MARKS:
-            if n >= mark:
-                yield f"{term}#{mark}"
+    def __reduce__(self):
+        return _Known, (self.number,)
 
 
 class Vectors:
     """TF-IDF vectors over a vocabulary of terms with their inverse document frequencies."""
 
     def __init__(self, idf: dict[str, float]):
-        self.idf, self.number = list(idf.values()), {t: i for i, t in enumerate(idf)}
-        #: Terms without marks, and for each the (occurrences, coordinate) that it can give.
-        self.steps: dict[str, list[tuple[int, int]]] = {}
-        for term, i in self.number.items():
-            base, _, mark = term.rpartition("#") if "#" in term else (term, "", "1")
-            self.steps.setdefault(base, []).append((int(mark), i))
-        self.known: dict[str, tuple[str, ...]] = {}
-
-    def vector(self, text: str | None) -> tuple[tuple[int, ...], tuple[float, ...]]:
-        """Coordinates, ascending, and weights of unit length; empty if no term occurs."""
-        known, steps, held = self.known, self.steps, Counter()
-        for word, n in Counter(_words((text or "").lower())).items():
-            found = known.get(word)
-            if found is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                found = known[word] = tuple(t for t in terms_of(word) if t in steps)
-            for term in found:
-                held[term] += n
-        weights = {}
-        for term, n in held.items():
-            for mark, i in steps[term]:
-                if n >= mark:
-                    weights[i] = self.idf[i] * (1 + math.log(n) if mark == 1 else 1)
-        length = math.sqrt(sum(w * w for w in weights.values()))
-        at = tuple(sorted(weights))
-        return at, tuple(round(weights[i] / length, 9) for i in at)
+        self.idf = np.array(list(idf.values()), np.float64)
+        self.known = _Known({t: i for i, t in enumerate(idf)})
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Coordinates, ascending, and weights of unit length (int32, float32); empty if no term occurs."""
+        every = np.frombuffer(b"".join(map(self.known.__getitem__, _words((text or "").lower()))), np.int32)
+        at, numbers = np.unique(every, return_counts=True)
+        weights = numbers * self.idf[at]
+        return at, (weights / max(math.sqrt(float(weights @ weights)), 1e-300)).astype(np.float32)
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
 
 
 class Index:
     """Entries are distinct vectors with the weight of their labelled and of all their examples, and one example's id."""
 
-    def __init__(self, entries: list[tuple[tuple, tuple, float, float, int, int]], terms: int):
-        # Neighbours in this order are alike, so blocks' bounds are tight.
-        entries = sorted(entries, key=lambda e: (e[0][:1], len(e[0]), e[0], e[1]))
-        self.toxic, self.weight = (np.array([e[k] for e in entries]) for k in (2, 3))
+    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray, float, float, int, int]], terms: int):
+        # Coordinates are numbered from the commonest term down, so neighbours in this order are alike and bounds tight.
+        entries = sorted(entries, key=lambda e: (*e[0][:6].tolist(), e[5]))
+        self.toxic, self.weight = (np.array([e[k] for e in entries], np.float64) for k in (2, 3))
         self.examples, self.ids = np.array([e[4] for e in entries], np.int64), np.array([e[5] for e in entries], np.int64)
         self.blocks = -(-len(entries) // BLOCK)
-        at = np.array([i for e in entries for i in e[0]], np.int64)
-        entry = np.array([k for k, e in enumerate(entries) for _ in e[0]], np.int64)
-        weights = np.array([w for e in entries for w in e[1]])
-        order = np.lexsort((entry, at))
+        at = np.concatenate([e[0] for e in entries] or [np.empty(0, np.int32)])
+        entry = np.repeat(np.arange(len(entries), dtype=np.int32), [len(e[0]) for e in entries])
+        weights = np.concatenate([e[1] for e in entries] or [np.empty(0, np.float32)])
+        order = np.argsort(at, kind="stable")  # postings of a term stay in the order of entries
         at, self.posted, self.weights = at[order], entry[order], weights[order]
-        cells = at * max(1, self.blocks) + self.posted // BLOCK
-        self.starts = np.searchsorted(cells, np.arange(terms * max(1, self.blocks) + 1))
-        self.greatest = np.zeros(terms * max(1, self.blocks))
-        np.maximum.at(self.greatest, cells, self.weights)
-        self.greatest = self.greatest.reshape(terms, max(1, self.blocks))
-
-    def nearest(self, at: tuple[int, ...], weights: tuple[float, ...], wanted: int) -> tuple[np.ndarray, np.ndarray]:
+        # A cell is a term in a block: its block, greatest weight and first posting; cells lie by term.
+        block = self.posted // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (block[1:] != block[:-1])])) if len(at) else np.empty(0, np.int64)
+        self.cell_block, self.cell_post = block[first], np.append(first, len(at))
+        self.cell_most = np.maximum.reduceat(self.weights, first) if len(at) else np.empty(0, np.float32)
+        self.cells = np.searchsorted(at[first], np.arange(terms + 1))
+        #: Blocks scored by the last search.
+        self.scored = 0
+
+    def nearest(self, at: np.ndarray, weights: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
         """Entries and cosines, best first: the fewest that stand for `wanted` examples, and all that tie with the last."""
-        if not at or not self.blocks:
-            return np.empty(0, np.int64), np.empty(0)
-        rows, query = np.array(at), np.array(weights)
-        bounds = query @ self.greatest[rows]
-        found, scores, least = np.empty(0, np.int64), np.empty(0), 0.0
-        order, place, size = np.argsort(-bounds, kind="stable"), 0, FIRST_BLOCKS
-        while place < len(order):
-            # Some blocks at once, four times as many each time: all postings of theirs are added up together.
-            blocks = order[place : place + size]
-            blocks = blocks[(bounds[blocks] > 0) & (bounds[blocks] >= least - 1e-9)]
-            if not len(blocks):
+        self.scored = 0
+        found, scores = np.empty(0, np.int64), np.empty(0)
+        if not len(at) or not self.blocks:
+            return found, scores
+        begins = self.cells[at]
+        counts = self.cells[at + 1] - begins
+        cells = _ranges(begins, counts)
+        query, block = np.repeat(weights.astype(np.float64), counts), self.cell_block[cells]
+        bounds = np.bincount(block, query * self.cell_most[cells], self.blocks)
+        order = np.argsort(-bounds, kind="stable")
+        order, least = order[bounds[order] > 0], 0.0
+        for part in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            part = part[bounds[part] >= least - 1e-9]
+            self.scored += len(part)
+            if not len(part):
                 break
-            place, size = place + size, 4 * size
-            cells = (rows[:, None] * self.blocks + blocks).ravel()
-            starts = self.starts[cells]
-            counts = self.starts[cells + 1] - starts
-            ends = np.cumsum(counts)
-            at_ = np.arange(ends[-1]) + np.repeat(starts - ends + counts, counts)
-            given = np.repeat(np.repeat(query, len(blocks)), counts) * self.weights[at_]
-            where = np.repeat(np.tile(np.arange(len(blocks)) - blocks, len(rows)), counts) * BLOCK + self.posted[at_]
-            sums = np.bincount(where, given, len(blocks) * BLOCK)
-            some = np.flatnonzero(sums > 0)
-            found, scores = np.append(found, blocks[some // BLOCK] * BLOCK + some % BLOCK), np.append(scores, sums[some])
+            chosen = np.zeros(self.blocks, bool)
+            chosen[part] = True
+            some = np.flatnonzero(chosen[block])
+            own = cells[some]
+            begins = self.cell_post[own]
+            counts = self.cell_post[own + 1] - begins
+            posts = _ranges(begins, counts)
+            sums = np.bincount(self.posted[posts], np.repeat(query[some], counts) * self.weights[posts], len(self.ids))
+            hit = np.flatnonzero(sums)
+            found, scores = np.append(found, hit), np.append(scores, sums[hit])
             if len(scores) > wanted:  # each entry stands for an example at least, so what lies below the best `wanted` is out
                 kept = scores >= np.partition(scores, -wanted)[-wanted] - 1e-9
                 found, scores = found[kept], scores[kept]
             best = np.lexsort((found, -scores))
             found, scores = found[best], scores[best]
-            have = np.cumsum(self.examples[found])
-            last = int(np.searchsorted(have, wanted))
+            last = int(np.searchsorted(np.cumsum(self.examples[found]), wanted))
             if last < len(found):
                 least = scores[last]
                 kept = scores >= least - 1e-9
@@ -164,28 +165,48 @@ class Model:
     #: Score of documents without terms.
     blank: float
 
-    def vote(self, at: tuple, weights: tuple, without: tuple[float, float] | None = None) -> tuple[float | None, list[tuple[int, float, float]]]:
-        """Share of the nearest examples' similarity that is labelled; without: label and weight of the one to leave out."""
-        entries, scores = self.index.nearest(at, weights, NEIGHBOURS)
-        if not len(entries):
-            return None, []
-        toxic, weight = self.index.toxic[entries].copy(), self.index.weight[entries].copy()
-        if without is not None:
-            toxic[0] -= without[0] * without[1]
-            weight[0] -= without[1]
-        whole = float(scores @ weight)
+    #: Examples that vote.
+    neighbours: int = max(NEIGHBOURS)
+
+    def vote(self, at: np.ndarray, weights: np.ndarray) -> tuple[float | None, list[tuple[int, float, float]]]:
+        """Share of the nearest examples' similarity that is labelled, and the nearest entries."""
+        entries, scores = self.index.nearest(at, weights, self.neighbours)
         top = [(int(self.index.ids[e]), float(s), float(self.index.toxic[e] / self.index.weight[e])) for e, s in zip(entries[:EVIDENCE], scores, strict=False)]
-        return (float(scores @ toxic) / whole if whole > 1e-12 else None), top
+        return _share(scores, self.index.toxic[entries], self.index.weight[entries]), top
 
-    def score(self, vector: tuple[tuple, tuple]) -> tuple[float, list]:
+    def score(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[float, list]:
         share, top = self.vote(*vector)
-        if share is None:
-            return self.blank, top
-        return float(self.steps[1][max(0, np.searchsorted(self.steps[0], share, side="right") - 1)]), top
+        return (self.blank if share is None else float(calibrated(self.steps, share))), top
+
+
+def _share(scores: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float | None:
+    whole = float(scores @ weight)
+    return float(scores @ toxic) / whole if whole > 1e-12 else None
+
+
+def own_votes(index: Index, at: np.ndarray, weights: np.ndarray, label: float, weight: float) -> list[float | None]:
+    """An example's votes without itself, for each of NEIGHBOURS."""
+    out: list[float | None] = []
+    entries, scores = index.nearest(at, weights, max(NEIGHBOURS) + 1)
+    toxic, whole, have = index.toxic[entries], index.weight[entries], np.cumsum(index.examples[entries])
+    if len(entries):  # its own entry is the nearest
+        toxic[0], whole[0] = max(0.0, toxic[0] - label * weight), max(0.0, whole[0] - weight)
+    for wanted in NEIGHBOURS:
+        last = int(np.searchsorted(have, wanted + 1))
+        near = scores >= (scores[last] if last < len(scores) else 0.0) - 1e-9
+        out.append(_share(scores[near], toxic[near], whole[near]))
+    return out
+
+
+def calibrated(steps: tuple[np.ndarray, np.ndarray], share: float | np.ndarray) -> np.ndarray:
+    return steps[1][np.maximum(0, np.searchsorted(steps[0], share, side="right") - 1)]
 
 
 def isotonic(points: list[tuple[float, float, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rising steps through (x, label, weight): each step's beginning and mean label, of STEP points at least."""
+    """Rising steps through (x, label, weight): each step's beginning and mean label, of STEP points at least.
+
+    STEP average points with the mean of all labels are added to each step, as a short step's own mean says little.
+    """
     pools: list[list[float]] = []
     for x, label, weight in sorted(points):
         if pools and (pools[-1][3] < STEP or pools[-1][4] == x):
@@ -198,15 +219,11 @@ def isotonic(points: list[tuple[float, float, float]]) -> tuple[np.ndarray, np.n
             pools[-1] = [pools[-1][0], pools[-1][1] + top[1], pools[-1][2] + top[2], pools[-1][3] + top[3], top[4]]
     if not pools:
         return np.zeros(1), np.zeros(1)
-    return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
-
-
-def least_gain(candidates: int) -> float:
-    """Log-likelihood ratio that a term must reach, so that chance alone gives less than one of so many candidates.
-
-    Twice the ratio is about chi-squared with one degree of freedom: above g lie less than exp(-g) of the candidates.
-    """
-    return math.log(max(1, candidates))
+    whole = [sum(p[k] for p in pools) for k in (1, 2, 3)]
+    label, weight = whole[0] / whole[2] * STEP, whole[1] / whole[2] * STEP
+    means = np.maximum.accumulate([(p[1] + label) / (p[2] + weight) for p in pools])
+    rising = np.append(True, np.diff(means) > 0)
+    return np.array([p[0] for p in pools])[rising], means[rising]
 
 
 def held_out(key: Column) -> Column:
@@ -224,87 +241,117 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            for term in marked(term_counts(text)):
+            for term in {t for word in set(_words((text or "").lower())) for t in terms_of(word)}:
                 sums.setdefault(term, [0, 0])[label] += 1
-            if len(sums) > 400_000:
+            if len(sums) > 200_000:
                 yield flush()
     yield flush()
 
 
-def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """A model from the rows of labels (key, toxic 0/1) whose key isn't held out, and their documents' texts.
+def examples_of(documents: DataFrame, labels: DataFrame, key: str, text: str) -> tuple[DataFrame, dict[int, int]]:
+    """(id, toxic, text), at most MOST_TOXIC + MOST_CLEAN rows, written; and the true numbers of both labels.
 
-    Rows with a null label or without a document teach nothing. Without any toxic or any clean example every score is
-    the rate of the label there is, or 0.
+    An id with several labels takes the highest, one with several texts the first in code point order.
     """
-    spark = documents.sparkSession
-    make_importable(spark)
-    usable = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).select(F.col(key).alias("id"), F.col("toxic").cast("int").alias("toxic")).distinct()
+    usable = labels.where(F.col(key).isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    usable = cut(usable, "usable")
     totals = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn = None
     for label, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)):
         part = usable.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(most)
         drawn = part if drawn is None else drawn.unionAll(part)
-    # At most MOST_TOXIC + MOST_CLEAN ids and labels.
-    drawn = cut(drawn, "drawn")
-    examples = cut(documents.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id"), "examples")
+    drawn = cut(drawn, "drawn")  # at most MOST_TOXIC + MOST_CLEAN ids and labels
+    found = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id")
+    return cut(found.groupBy("id").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text")), "examples"), totals
+
+
+def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
+    """A model from the rows of labels (key, toxic 0/1) whose key isn't held out, and their documents' texts.
+
+    Rows with a null label or without a document teach nothing. Without any toxic or any clean example every score is
+    the rate of the label there is, or 0. Very long texts are taken whole.
+    """
+    make_importable(documents.sparkSession)
+    examples, totals = examples_of(documents, labels, key, text)
     number = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = number.get(1, 0), number.get(0, 0)
     rate = totals.get(1, 0) / max(1, sum(totals.values()))
     if not toxic or not clean:
         return Model(Vectors({}), Index([], 0), (np.zeros(1), np.full(1, rate)), rate)
-    tallied = examples.select("text", "toxic").mapInArrow(_tally, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("n"))
-    p, n = F.col("p"), F.col("n")
-    part = lambda seen, of, whole: F.when(seen > 0, seen * F.log(seen * (toxic + clean) / (of * whole))).otherwise(0.0)
-    gain = part(p, p + n, toxic) + part(n, p + n, clean) + part(toxic - p, toxic + clean - p - n, toxic) + part(clean - n, toxic + clean - p - n, clean)
-    # Candidates are counted regardless of their labels, which is what makes their number tell of chance.
-    candidates = cut(tallied.where(p + n >= LEAST), "candidates")
-    telling = candidates.where((p >= LEAST) & (p * clean > n * toxic)).withColumn("gain", gain).where(F.col("gain") >= least_gain(candidates.count()))
-    terms = telling.orderBy(F.desc("gain"), "term").collect()
-    vectors = Vectors({r["term"]: math.log((1 + toxic + clean) / (1 + r["p"] + r["n"])) + 1 for r in terms})
     weight = {1: totals[1] / toxic, 0: totals[0] / clean}
-    rows = _vectors(examples.select("id", "toxic", "text"), vectors).collect()
-    return _model(vectors, [(r["id"], r["toxic"], tuple(r["at"]), tuple(r["weights"])) for r in rows], weight)
-
-
-def _model(vectors: Vectors, rows: list[tuple[int, int, tuple, tuple]], weight: dict[int, float]) -> Model:
-    entries: dict[tuple, list] = {}
+    tallied = examples.select("text", "toxic").mapInArrow(_tally, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("n"))
+    share = (F.col("p") * weight[1] + F.col("n") * weight[0]) / float(sum(totals.values()))
+    shared = cut(tallied.where(F.col("p") + F.col("n") >= LEAST).select("term", share.alias("share")), "terms")
+    best = None
+    for floor in FLOORS:
+        for model, error in _fitted(examples, shared.where(F.col("share") <= floor), weight):
+            if best is None or error < best[1]:
+                best = (model, error)
+    return best[0]
+
+
+def _fitted(examples: DataFrame, terms: DataFrame, weight: dict[int, float]) -> Iterator[tuple[Model, float]]:
+    """Models over these terms (term, share) for each of NEIGHBOURS, and their weighted squared errors on the examples, each
+    without itself."""
+    found = terms.orderBy(F.desc("share"), "term").toArrow()  # bounded by the examples' texts
+    vectors = Vectors(dict(zip(found["term"].to_pylist(), (-np.log(found["share"].to_numpy())).tolist(), strict=True)))
+    rows = cut(_vectors(examples.select("id", "toxic", "text"), vectors), "vectors")
+    index, blank = _index(rows.orderBy("id").toArrow(), len(vectors.idf), weight)
+    points = _own_votes(rows.select("toxic", "at", "weights"), index, weight).toArrow()
+    labels = points["toxic"].to_numpy().astype(float)
+    weights = np.where(labels == 1, weight[1], weight[0])
+    for i, wanted in enumerate(NEIGHBOURS):
+        votes = points[f"v{i}"].to_numpy(zero_copy_only=False).astype(float).round(12)
+        has = ~np.isnan(votes)
+        steps = isotonic(list(zip(votes[has].tolist(), labels[has].tolist(), weights[has].tolist(), strict=True)))
+        scores = np.where(has, calibrated(steps, np.where(has, votes, 0.0)), blank)
+        yield Model(vectors, index, steps, blank, wanted), float(weights @ (scores - labels) ** 2)
+
+
+def _index(rows: pa.Table, terms: int, weight: dict[int, float]) -> tuple[Index, float]:
+    """The index of example vectors (id, toxic, at, weights), and the rate of the label among those without terms."""
+    entries: dict[tuple[bytes, bytes], list] = {}
     blank = [0.0, 0.0]
-    for id_, label, at, weights in sorted(rows):
-        if not at:
-            blank[0] += label * weight[label]
-            blank[1] += weight[label]
-            continue
-        entry = entries.setdefault((at, weights), [0.0, 0.0, 0, id_])
-        entry[0] += label * weight[label]
-        entry[1] += weight[label]
-        entry[2] += 1
-    index = Index([(at, w, *e) for (at, w), e in entries.items()], len(vectors.idf))
-    model = Model(vectors, index, (np.zeros(1), np.zeros(1)), blank[0] / blank[1] if blank[1] else 0.0)
-    points, cache = [], {}
-    for _, label, at, weights in rows:
-        if at:
-            key = (at, weights, label)
-            if key not in cache:
-                cache[key] = model.vote(at, weights, (label, weight[label]))[0]
-            if cache[key] is not None:
-                points.append((round(cache[key], 12), float(label), weight[label]))
-    model.steps = isotonic(points)
-    return model
+    for batch in rows.to_batches():
+        for id_, label, at, weights in zip(batch["id"].to_pylist(), batch["toxic"].to_pylist(), batch["at"], batch["weights"], strict=True):
+            at, weights = at.values.to_numpy(), weights.values.to_numpy()
+            if not len(at):
+                blank[0] += label * weight[label]
+                blank[1] += weight[label]
+                continue
+            entry = entries.setdefault((at.tobytes(), weights.tobytes()), [at, weights, 0.0, 0.0, 0, id_])
+            entry[2] += label * weight[label]
+            entry[3] += weight[label]
+            entry[4] += 1
+    return Index([tuple(e) for e in entries.values()], terms), blank[0] / blank[1] if blank[1] else 0.0
 
 
 def _vectors(df: DataFrame, vectors: Vectors) -> DataFrame:
-    names = [c for c in df.columns if c != "text"]
+    names, shared = [c for c in df.columns if c != "text"], df.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [vectors.vector(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([list(a) for a, _ in made], pa.list_(pa.int32())), pa.array([list(w) for _, w in made], pa.list_(pa.float64()))], [*names, "at", "weights"])
+            made = [shared.value.vector(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([a for a, _ in made], pa.list_(pa.int32())), pa.array([w for _, w in made], pa.list_(pa.float32()))], [*names, "at", "weights"])
 
-    schema = T.StructType([df.schema[n] for n in names] + [T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([df.schema[n] for n in names] + [T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.FloatType()))])
     return df.mapInArrow(run, schema)
 
 
+def _own_votes(rows: DataFrame, index: Index, weight: dict[int, float]) -> DataFrame:
+    """(toxic, v0, v1, ...): each example's label and votes; null where nothing is near."""
+    shared, names = rows.sparkSession.sparkContext.broadcast(index), [f"v{i}" for i in range(len(NEIGHBOURS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = batch["toxic"].to_pylist()
+            votes = [own_votes(shared.value, at.values.to_numpy(), w.values.to_numpy(), label, weight[label]) for label, at, w in zip(labels, batch["at"], batch["weights"], strict=True)]
+            columns = zip(*votes, strict=True) if votes else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), *(pa.array(v, pa.float64()) for v in columns)], ["toxic", *names])
+
+    return rows.mapInArrow(run, ", ".join(["toxic int", *(f"{n} double" for n in names)]))
+
+
 EVIDENCE_TYPE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("toxic", T.DoubleType())]))
 
 
@@ -312,32 +359,30 @@ def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = Fal
     """df (without text unless keep_text) with score, the calibrated probability of the label, and evidence.
 
     evidence has the nearest entries: an example's id, its similarity, and the labelled share of its like. Null and
-    empty texts have the score of documents without terms. Ties and repeated rows get equal scores; other columns but
-    score and evidence pass through.
+    empty texts have the score of documents without terms; very long ones are read whole. Ties and repeated rows get
+    equal scores; an empty table gives an empty one. Other columns, whatever their names, pass through, but for score and
+    evidence, which are replaced.
     """
     make_importable(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the two sample sizes
-    names = [c for c in df.columns if c not in ("score", "evidence") and (keep_text or c != text)]
+    kept = [c for c in df.columns if c not in ("score", "evidence") and (keep_text or c != text)]
+    inner, content, names = numbered(df), place(df, text), [place(df, c) for c in kept]
     arrow = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple[float, list]] = {}
         fitted = shared.value
-        for batch in batches:
-            scores, evidence = [], []
-            for content in batch.column(text).to_pylist():
-                vector = fitted.vectors.vector(content)
-                if vector not in known:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[vector] = fitted.score(vector)
-                value, top = known[vector]
-                scores.append(value)
-                evidence.append([dict(zip(("doc_id", "similarity", "toxic"), t, strict=True)) for t in top])
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64()), pa.array(evidence, arrow)], [*names, "score", "evidence"])
-
-    schema = T.StructType([df.schema[n] for n in names] + [T.StructField("score", T.DoubleType()), T.StructField("evidence", EVIDENCE_TYPE)])
-    return df.mapInArrow(run, schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                scores, evidence = [], []
+                for one in batch.column(content).to_pylist():
+                    value, top = fitted.score(fitted.vectors.vector(one))
+                    scores.append(value)
+                    evidence.append([dict(zip(("doc_id", "similarity", "toxic"), t, strict=True)) for t in top])
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64()), pa.array(evidence, arrow)], [*names, "score", "evidence"])
+
+    schema = T.StructType([inner.schema[n] for n in names] + [T.StructField("score", T.DoubleType()), T.StructField("evidence", EVIDENCE_TYPE)])
+    return inner.mapInArrow(run, schema).toDF(*kept, "score", "evidence")
 
 
 def digests(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -347,6 +392,7 @@ def digests(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that aren't predicted to be toxic, with all their columns in order."""
-    scored = score(documents, fit(documents, labels), keep_text=True)
-    return scored.where(F.col("score") < THRESHOLD).select(*(F.col(f"`{c}`") for c in documents.columns))
+    """The rows of documents that aren't predicted to be toxic, with all their columns in order, whatever their names."""
+    model, inner = fit(documents, labels), numbered(documents)
+    scored = score(inner, model, place(documents, "text"), keep_text=True)
+    return scored.where(F.col("score") < THRESHOLD).select(*inner.columns).toDF(*documents.columns)
