@@ -24,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodespan.llm.frames import numbered, place
 from lodespan.session import make_importable
 
-#: Entries that a worker keeps of encoded pre-tokens and of token pairs; beyond them it starts anew.
-CACHE = 300_000
+#: Bytes that a worker keeps of encoded pre-tokens, of their beginnings, and of token pairs; beyond them it starts anew.
+PIECE_BYTES, STEM_BYTES, PAIR_BYTES = 16_000_000, 8_000_000, 16_000_000
+#: What an entry takes besides its letters and tokens: objects' heads and their places in a dictionary.
+ENTRY_BYTES, PAIR_ENTRY = 220, 136
 #: Beginnings of pre-tokens, in bytes, whose entries are kept for words that begin alike.
 STEMS = (9, 6)
 
@@ -68,7 +71,7 @@ class Vocabulary:
         key = left << 32 | right
         known = self.beside.get(key)
         if known is None:
-            if len(self.beside) >= 4 * CACHE:
+            if len(self.beside) * PAIR_ENTRY >= PAIR_BYTES:
                 self.beside.clear()
             known = self.beside[key] = self._separate(left, right)
         return known
@@ -153,16 +156,18 @@ class _Pieces(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary, self.stems = vocabulary, {}
+        self.vocabulary, self.stems, self.bytes, self.stem_bytes = vocabulary, {}, 0, 0
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         data = piece.encode()
         whole = self.vocabulary.ranks.get(data)
         ids = (whole,) if whole is not None else tuple(self._prefixes(data).ids())
         if len(piece) <= 64:
-            if len(self) >= CACHE:
+            if self.bytes >= PIECE_BYTES:
                 self.clear()
+                self.bytes = 0
             self[piece] = ids
+            self.bytes += ENTRY_BYTES + 4 * len(piece) + 8 * len(ids)
         return ids
 
     def _prefixes(self, data: bytes) -> Prefixes:
@@ -173,11 +178,13 @@ class _Pieces(dict):
                 out.data, out.last = data[:size], stem[:]
                 break
         out.append(data[len(out.data) :])
-        if len(self.stems) >= CACHE:
+        if self.stem_bytes >= STEM_BYTES:
             self.stems.clear()
+            self.stem_bytes = 0
         for size in STEMS:
-            if size < len(data):
-                self.stems.setdefault(data[:size], out.last[:size])
+            if size < len(data) and data[:size] not in self.stems:
+                self.stems[data[:size]] = out.last[:size]
+                self.stem_bytes += ENTRY_BYTES + 9 * size
         return out
 
 
@@ -194,69 +201,89 @@ class Encoder:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
+def vocabulary(path: str) -> Vocabulary:
+    """One per worker process: encoders and decoders share it."""
+    return Vocabulary.read(path)
+
+
+@lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> Encoder:
-    """One per worker process and vocabulary."""
-    return Encoder(Vocabulary.read(path), pattern)
+    return Encoder(vocabulary(path), pattern)
 
 
-def _with(df: DataFrame, column: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([f for f in df.schema.fields if f.name != column] + [T.StructField(column, kind)])
+def _slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
-def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
+def _encoded(texts: Iterable[str | None], enc: Encoder) -> pa.ListArray:
+    lists = [enc.encode(t) if t else [] for t in texts]
+    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))))
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the array<int> column `ids`, the encoding of the whole `text`, to every row; a column of that name is replaced.
+def _decoded(lists: pa.ListArray, tokens: list[bytes]) -> pa.Array:
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False).tolist(), list(accumulate(lists.value_lengths().fill_null(0).to_pylist(), initial=0))
+    return pa.array([b"".join(map(tokens.__getitem__, flat[a:b])) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
 
-    Null and empty texts give an empty array. Other columns, ties and repeated rows pass through; an empty table gives
-    an empty table. path is read on the executors: a file installed with the tokenizers, the same on each.
-    """
+
+def _mapped(df: DataFrame, made: dict[str, T.DataType], function, drop: tuple[str, ...] = ()) -> DataFrame:
+    """df without the columns drop, with the columns made that function gives for a batch; such columns are replaced."""
     make_importable(df.sparkSession)
-    names = [c for c in df.columns if c != ids]
+    kept, inner = [c for c in df.columns if c not in made and c not in drop], numbered(df)
+    names, new = [place(df, c) for c in kept], [f"made{i}" for i in range(len(made))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
-        for whole in batches:
-            for batch in _slices(whole, 500):
-                lists = [enc.encode(t) if t else [] for t in batch.column(text).to_pylist()]
-                ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-                flat = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))
-                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), made], [*names, ids])
+        for batch in _slices(batches):
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *function(batch)], [*names, *new])
+
+    schema = T.StructType([inner.schema[n] for n in names] + [T.StructField(n, kind) for n, kind in zip(new, made.values(), strict=True)])
+    return inner.mapInArrow(run, schema).toDF(*kept, *made)
+
+
+_IDS = T.ArrayType(T.IntegerType(), True)
 
-    return df.mapInArrow(run, _with(df, ids, T.ArrayType(T.IntegerType(), True)))
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Adds the array<int> column `ids`, the encoding of the whole `text`, to every row; a column of that name is replaced.
+
+    Null and empty texts give an empty array; very long ones are encoded whole. Other columns, whatever their names, ties
+    and repeated rows pass through; an empty table gives an empty table. path is read on the executors: a file installed
+    with the tokenizers, the same on each.
+    """
+    content = place(df, text)
+    return _mapped(df, {ids: _IDS}, lambda batch: [_encoded(batch.column(content).to_pylist(), encoder(path, pattern))])
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
     """Adds the binary column `data`, the bytes of the tokens in `ids`, to every row; a null array gives no bytes.
 
-    An id outside the vocabulary is an error. Other columns, ties and repeated rows pass through.
+    An id outside the vocabulary is an error. Other columns, whatever their names, ties and repeated rows pass through.
     """
-    make_importable(df.sparkSession)
-    names = [c for c in df.columns if c != data]
+    lists = place(df, ids)
+    return _mapped(df, {data: T.BinaryType()}, lambda batch: [_decoded(batch.column(lists), vocabulary(path).tokens)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, "")
-        for whole in batches:
-            for batch in _slices(whole, 500):
-                lists = batch.column(ids)
-                flat, ends = lists.flatten().to_numpy(zero_copy_only=False).tolist(), list(accumulate(lists.value_lengths().fill_null(0).to_pylist(), initial=0))
-                made = pa.array([enc.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), made], [*names, data])
 
-    return df.mapInArrow(run, _with(df, data, T.BinaryType()))
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", data: str = "decoded") -> DataFrame:
+    """df without `text`, with what encode gives for it and what decode gives for that, in one pass of one worker."""
+    content = place(df, text)
+
+    def both(batch: pa.RecordBatch) -> list[pa.Array]:
+        lists = _encoded(batch.column(content).to_pylist(), encoder(path, pattern))
+        return [lists, _decoded(lists, vocabulary(path).tokens)]
+
+    return _mapped(df, {ids: _IDS, data: T.BinaryType()}, both, drop=(text,))
 
 
-def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of documents."""
-    coded = decode(encode(df.select("doc_id", "text"), path, pattern).drop("text"), path)
+def digests(df: DataFrame, path: str, pattern: str, *more: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of documents, and the columns more of ids, decoded."""
+    coded = round_trip(df.select("doc_id", "text"), path, pattern)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )

@@ -69,3 +69,23 @@ def test_rows(spark, library):
     assert bpe.digests(df.limit(0), PATH, P.PATTERN).count() == 0
     coded = bpe.encode(df, PATH, P.PATTERN)
     assert coded.columns == ["doc_id", "text", "ids"] and coded.where("doc_id = 1").first()["ids"] == []
+
+
+def test_round_trip_and_columns_of_any_name(spark):
+    rows = [(i, f"word{i} — été", "x", 1, 2) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, c0 int, made0 int")
+    apart = bpe.decode(bpe.encode(df, PATH, P.PATTERN), PATH)
+    assert apart.columns == [*df.columns, "ids", "decoded"]
+    once = bpe.round_trip(df, PATH, P.PATTERN)
+    assert once.columns == ["doc_id", "a.b", "c0", "made0", "ids", "decoded"]
+    key = lambda r: r["doc_id"]
+    for a, b, row in zip(sorted(apart.collect(), key=key), sorted(once.collect(), key=key), rows, strict=True):
+        assert (a["ids"], a["decoded"], a["a.b"]) == (b["ids"], b["decoded"], "x") and bytes(a["decoded"]) == row[1].encode()
+
+
+def test_full_caches_change_nothing(vocabulary, library, monkeypatch):
+    for name in ("PIECE_BYTES", "STEM_BYTES", "PAIR_BYTES"):
+        monkeypatch.setattr(bpe, name, 2000)
+    encoder, chance = bpe.Encoder(bpe.Vocabulary(vocabulary.ranks), P.PATTERN), random.Random(3)
+    text = " ".join("".join(chance.choices("abcdeing", k=chance.randint(1, 14))) for _ in range(2000))
+    assert encoder.encode(text) == library.encode_ordinary(text)
