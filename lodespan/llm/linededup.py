@@ -4,10 +4,14 @@ A line's key is the line without white space (`[\\x20\\x09-\\x0D]`) at both ends
 `MIN_LENGTH` code points that at least `MIN_DOCUMENTS` documents hold lose their lines everywhere but in the document
 with the largest id.
 
-Lines travel as 128-bit hashes, never as text. They are range-partitioned by hash and sorted by document and position
-within it, so one pass over a partition sees a hash's occurrences in order and keeps one row for each hash. A hash may
-hold a third of all lines: its range is divided further by `SALTS` buckets of documents, whose few totals are added up
-per hash before the occurrences learn what to drop. What comes back per document is its keep bitmap as run lengths.
+Lines travel as 128-bit hashes, never as text; they are hashed once and written. The hashes are range-partitioned and
+sorted by hash, document (largest first) and position. One pass over a partition then streams the occurrences of each
+hash: the first is the document that keeps it, and a document's first occurrence counts the document. What comes back per
+document is its keep bitmap, compressed to runs. The whole text meets its bitmap only then.
+
+A hash may hold a third of all lines. Hashes that stand out in a sample of `SAMPLE` lines are hot: at most SAMPLE / SHARE
+of them, so their table may be broadcast. Their documents are counted exactly beforehand by partial aggregation, and their
+lines are dealt to SALTS ranges each. The sample decides only how lines are dealt, never which are dropped.
 """
 
 from __future__ import annotations
@@ -15,7 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodespan.llm.frames import numbered, place
+from lodespan.session import cut
+
 MIN_LENGTH, MIN_DOCUMENTS, SALTS = 40, 5, 64
+#: Lines of the sample that finds hot hashes, and how many of them make a hash hot.
+SAMPLE, SHARE = 200_000, 100
 
 _BLANK = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,65 +44,97 @@ def _identity(key: str, text: str) -> list[Column]:
     return [F.col(key).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("print")]
 
 
-def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(doc, print, at): the position of each line that goes, once for each document id and text."""
+def hashed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = MIN_LENGTH) -> DataFrame:
+    """(hash, doc, print, at) of each line whose key is long enough: a 128-bit hash of the key, and the line's place."""
     line = df.select(*_identity(key, text), F.posexplode(lines(F.col(text))).alias("at", "line"))
     found = line.select("doc", "print", "at", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_length)
-    hashed = found.select(F.md5("key").alias("hash"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"), "doc", "print", "at")
-    # The range partitioning by (hash, salt) also serves both aggregations below: neither shuffles again.
-    ranged = hashed.repartitionByRange("hash", "salt").sortWithinPartitions("hash", "salt", "doc", "at")
-    first = ranged.groupBy("hash", "salt", "doc").agg(F.lit(1).alias("one"))
-    part = first.groupBy("hash", "salt").agg(F.count("doc").alias("n"), F.max("doc").alias("last"))
-    of_hash = Window.partitionBy("hash")
-    whole = part.select("hash", "salt", F.sum("n").over(of_hash).alias("n"), F.max("last").over(of_hash).alias("last"))
-    repeated = whole.where(F.col("n") >= min_documents).select("hash", "salt", "last")
-    gone = hashed.join(repeated, ["hash", "salt"]).where("doc <> last or doc is null")
-    return gone.select("doc", "print", "at").distinct()
+    return found.select(F.unhex(F.md5("key")).alias("hash"), "doc", "print", "at")
+
+
+def hot_hashes(hashed: DataFrame) -> DataFrame:
+    """(hash, documents, largest) of hashes that very many lines have: at most SAMPLE / SHARE rows, about."""
+    every = F.lit(max(1, hashed.count() // SAMPLE))
+    drawn = hashed.where(F.pmod(F.xxhash64("doc", "print", "at"), every) == 0)
+    standing = cut(drawn.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARE).select("hash"), "standing")
+    holders = hashed.join(F.broadcast(standing), "hash", "left_semi").where("doc is not null").groupBy("hash", "doc").agg(F.lit(1).alias("one"))
+    return cut(holders.groupBy("hash").agg(F.count("doc").alias("documents"), F.max("doc").alias("largest")), "hot")
+
+
+def streamed(hashed: DataFrame, hot: DataFrame) -> DataFrame:
+    """(doc, print, at, documents, largest) of each line: how many documents hold its hash, and the largest of them.
+
+    The range partitioning and the order serve both windows: nothing is shuffled or sorted again.
+    """
+    dealt = hashed.join(F.broadcast(hot), "hash", "left")  # bounded by the sample
+    salt = F.when(F.col("documents").isNotNull(), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    dealt = dealt.select("hash", salt.cast("int").alias("salt"), "doc", "print", "at", F.col("documents").alias("known"), F.col("largest").alias("known_largest"))
+    order = [F.col("hash"), F.col("salt"), F.col("doc").desc_nulls_last(), F.col("at")]
+    ranged = dealt.repartitionByRange("hash", "salt").sortWithinPartitions(*order)
+    stream = Window.partitionBy("hash", "salt").orderBy(*order[2:])
+    first = F.col("doc").isNotNull() & ~F.coalesce(F.lag("doc").over(stream) == F.col("doc"), F.lit(False))
+    flagged = ranged.withColumn("first", first).withColumn("top", F.first("doc").over(stream))
+    whole = stream.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = flagged.withColumn("held", F.count_if("first").over(whole))
+    return counted.select("doc", "print", "at", F.coalesce("known", "held").alias("documents"), F.coalesce("known_largest", "top").alias("largest"))
+
+
+def _runs(places: Column) -> Column:
+    """Sorted places as runs (start, length)."""
+    begins = F.filter(places, lambda at, i: (i == 0) | (F.get(places, i - 1) != at - 1))
+    ends = F.filter(places, lambda at, i: (i == F.size(places) - 1) | (F.get(places, i + 1) != at + 1))
+    return F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("length")))
 
 
 def keep_bitmaps(df: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """(doc, print, gone): for each document id and text that loses lines, the sorted positions of these lines."""
-    gone = dropped_lines(df, key, text, min_length, min_documents)
-    return gone.groupBy("doc", "print").agg(F.sort_array(F.collect_list("at")).alias("gone"))
+    """(doc, print, gone): for each document id and text that loses lines, the zeros of its keep bitmap as runs (start,
+    length) of lines."""
+    hashed = cut(hashed_lines(df, key, text, min_length), "lines")
+    gone = streamed(hashed, hot_hashes(hashed)).where((F.col("documents") >= min_documents) & ((F.col("doc") != F.col("largest")) | F.col("doc").isNull()))
+    places = gone.groupBy("doc", "print").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    return places.select("doc", "print", _runs(F.col("places")).alias("gone"))
 
 
-def _runs(gone: Column, size: Column) -> Column:
+def _lengths(gone: Column, size: Column) -> Column:
     """The keep bitmap as lengths of runs: kept, dropped, kept, ... lines, the first and last of which may be 0."""
-    # Between two dropped lines there is a run of kept ones, maybe empty.
-    before = F.concat(F.array(F.lit(-1)), gone)
-    gaps = F.zip_with(F.concat(gone, F.array(size)), before, lambda here, last: here - last - 1)
-    return F.flatten(F.transform(gaps, lambda kept, i: F.when(i == 0, F.array(kept)).otherwise(F.array(F.lit(1), kept))))
+    end = lambda run: run["start"] + run["length"]
+    pairs = F.transform(gone, lambda run, i: F.array(run["start"] - F.when(i == 0, F.lit(0)).otherwise(end(F.get(gone, i - 1))), run["length"]))
+    return F.concat(F.flatten(pairs), F.array(size - end(F.element_at(gone, -1))))
 
 
 def _kept(parts: Column, gone: Column) -> Column:
     """The lines that stay."""
-    before = F.concat(F.array(F.lit(-1)), gone)
-    after = F.concat(gone, F.array(F.size(parts)))
-    pieces = F.zip_with(before, after, lambda last, here: F.slice(parts, last + 2, here - last - 1))
-    return F.flatten(pieces)
+    before = F.concat(F.array(F.lit(0)), F.transform(gone, lambda run: run["start"] + run["length"]))
+    after = F.concat(F.transform(gone, lambda run: run["start"]), F.array(F.size(parts)))
+    return F.flatten(F.zip_with(before, after, lambda begin, end: F.slice(parts, begin + 1, end - begin)))
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = MIN_LENGTH, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """All rows and columns of df, text with the dropped lines taken out, and n_lines (before), n_dropped and keep_runs.
 
     keep_runs is the keep bitmap as run lengths: kept, dropped, kept, ... A null text stays null and counts as one empty
-    line. Rows that share an id are one document when documents are counted; rows without an id count for none and
-    lose the lines that others hold often enough. A text all of whose lines go becomes empty. Repeated rows stay, an
-    empty table gives an empty table; other columns pass through, but for the three of these names, which are replaced.
+    line; very long texts are taken whole. Rows that share an id are one document when documents are counted; rows
+    without an id count for none and lose the lines that others hold often enough. A text all of whose lines go becomes
+    empty. Repeated rows stay, an empty table gives an empty table; other columns, whatever their names, pass through, but
+    for the three of these names, which are replaced.
     """
-    bitmaps = keep_bitmaps(df, key, text, min_length, min_documents).select(F.col("doc").alias("_doc"), F.col("print").alias("_print"), F.col("gone").alias("_gone"))
-    names = [c for c in df.columns if c not in ("n_lines", "n_dropped", "keep_runs")]
-    rows = df.select(*names, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_row"))
-    joined = rows.join(bitmaps, F.col(key).eqNullSafe(F.col("_doc")) & (F.col("_row") == F.col("_print")), "left")
-    parts, gone = lines(F.col(text)), F.col("_gone")
-    split = joined.withColumn("_parts", F.when(gone.isNotNull(), parts))
-    size = F.when(gone.isNull(), F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).otherwise(F.size("_parts"))
+    inner, id_, content = numbered(df), place(df, key), place(df, text)
+    made = ("n_lines", "n_dropped", "keep_runs")
+    names = [c for c in df.columns if c not in made]
+    kept = [place(df, c) for c in names]
+    bitmaps = keep_bitmaps(inner, id_, content, min_length, min_documents)
+    rows = inner.select(*kept, F.xxhash64(F.coalesce(F.col(content), F.lit(""))).alias("row"))
+    joined = rows.join(bitmaps, F.col(id_).eqNullSafe(F.col("doc")) & (F.col("row") == F.col("print")), "left")
+    gone, parts = F.col("gone"), F.col("parts")
+    split = joined.withColumn("parts", F.when(gone.isNotNull(), lines(F.col(content))))
+    breaks = F.length(content) - F.length(F.replace(F.col(content), F.lit("\n"), F.lit("")))
+    size = F.when(gone.isNull(), F.coalesce(breaks + 1, F.lit(1))).otherwise(F.size(parts))
+    stays = F.when(gone.isNull(), F.col(content)).otherwise(F.array_join(_kept(parts, gone), "\n"))
     return split.select(
-        *(F.when(gone.isNull(), F.col(text)).otherwise(F.array_join(_kept(F.col("_parts"), gone), "\n")).alias(text) if n == text else F.col(n) for n in names),
-        F.coalesce(size, F.lit(1)).cast("long").alias("n_lines"),
-        F.when(gone.isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long").alias("n_dropped"),
-        F.when(gone.isNull(), F.array(F.coalesce(size, F.lit(1)))).otherwise(_runs(gone, F.size("_parts"))).alias("keep_runs"),
-    )
+        *(stays.alias(c) if c == content else F.col(c) for c in kept),
+        size.cast("long").alias("n_lines"),
+        F.when(gone.isNull(), F.lit(0)).otherwise(F.aggregate(gone, F.lit(0), lambda n, run: n + run["length"])).cast("long").alias("n_dropped"),
+        F.when(gone.isNull(), F.array(size)).otherwise(_lengths(gone, F.size(parts))).alias("keep_runs"),
+    ).toDF(*names, *made)
 
 
 def digests(df: DataFrame) -> DataFrame:
