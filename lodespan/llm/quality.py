@@ -1,15 +1,15 @@
 """Quality rules as robust multivariate outliers, with DataFrame functions only.
 
 Each document gives a vector of transformed statistics (`FEATURES`). For every language and source the minimum
-covariance determinant estimates the centre and spread of the bulk: starting from the rows nearest to the coordinatewise
-median, concentration steps fit mean and covariance to the `BULK` nearest rows and take the nearest rows anew. Documents
-whose Mahalanobis distance under the final estimate exceeds `CUTOFF` are rejected; where the median distance is above that
-of a normal sample, distances are scaled down to it.
-
-A step reads the small table of vectors twice: for a histogram of distances per group, whose bin edge bounds the bulk,
-and for the moments of the bulk. Both are partial aggregates, so a group with a third of all rows is no burden. Groups
-with fewer than MIN_GROUP rows are pooled by language, what is left then into one group; this depends on the group alone,
-not on the size of the corpus. The estimates are written tables joined by group: the planner sees their size.
+covariance determinant estimates the centre and spread of the bulk. From each of several starts concentration steps fit
+mean and covariance to the `BULK` nearest rows and take the nearest rows anew, until no group's determinant changes;
+of a group's results that with the least determinant counts. Documents whose Mahalanobis distance under it exceeds
+`CUTOFF` are rejected; where the median distance is above that of a normal sample, distances are scaled down to it.
+
+A step reads the small table of vectors twice: for a histogram of distances per group and start, whose bin edge bounds the
+bulk, and for the moments of the bulk. Both are partial aggregates, so a group with a third of all rows is no burden. Groups
+with fewer than MIN_GROUP rows are pooled by language, what is left then into one group. A larger group's verdicts depend
+on its own rows only. The estimates are written tables joined by group: the planner sees their size.
 """
 
 from __future__ import annotations
@@ -22,15 +22,17 @@ from pyspark.sql import functions as F
 from lodespan.session import cut
 
 WINDOW = 8
-#: Share of a group's rows that the estimate fits, concentration steps, and smallest fitted group.
-BULK, STEPS, MIN_GROUP = 0.75, 4, 200
-#: Squared distance beyond which a document is rejected: the 1 - 1e-6 quantile of chi-squared with 5 degrees of freedom.
+#: Share of a group's rows that the estimate fits, smallest group with an estimate of its own, most concentration steps
+#: (their determinants fall; some groups move between two bins of distances for ever), and the change that ends them.
+BULK, MIN_GROUP, MOST_STEPS, SETTLED = 0.75, 30, 12, 0.01
+#: Squared distance beyond which a document of a very large group is rejected: the 1 - 1e-6 quantile of chi-squared with 5
+#: degrees of freedom. Documents have longer tails than normal rows, so more of them lie beyond it.
 CUTOFF = 35.89
+#: In a group of n rows CUTOFF grows by SMALL / (n - 5) of itself: about what Hotelling's statistic has over chi-squared.
+SMALL = 45.0
 #: Median of chi-squared with 5 degrees of freedom.
 MEDIAN = 4.3515
-#: Rows below which a group's estimate says nothing: its documents are kept.
-MIN_FIT = 30
-#: Minimal fraction of words and most repeated words of the base rules.
+#: Fewest words, and most repeated words in a hundred, of the base rules.
 MIN_WORDS, MOST_REPEATED = 20, 30
 
 _BLANK = " \t\n\x0b\x0c\r"
@@ -150,17 +152,30 @@ def _median(rows: DataFrame, names: list[str], made: str) -> DataFrame:
     return middle.groupBy("group").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "bin"))), lambda x: x["bin"] / _GRID).alias(made))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """(group, centre, precision) from medians and median absolute deviations, without covariances."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """(group, start, centre, precision, volume): medians with median absolute deviations, medians with the smallest
+    spreads, and the mean and covariance of all rows."""
     names, size = list(FEATURES), len(FEATURES)
     centre = cut(_median(rows, names, "centre"), "centre")
     off = rows.join(centre, "group").select("group", *(F.abs(F.col(n) - F.col("centre")[i]).alias(n) for i, n in enumerate(names)))
     spread = _median(off, names, "spread")
     floors = F.array(*(F.lit(f) for f in FEATURES.values()))
     scaled = F.zip_with("spread", floors, lambda s, f: F.lit(1.0) / (F.lit(1.4826 * 1.4826) * s * s + f * f))
-    made = centre.join(cut(spread.select("group", scaled.alias("inverse")), "spread"), "group")
     zero = F.lit(0.0)
-    return made.select("group", "centre", F.array(*(F.array(*(F.col("inverse")[i] if i == j else zero for j in range(size))) for i in range(size))).alias("precision"))
+    diagonal = lambda c: F.array(*(F.array(*(c[i] if i == j else zero for j in range(size))) for i in range(size)))
+    first = centre.join(cut(spread.select("group", scaled.alias("inverse")), "spread"), "group").select("group", F.lit(0).alias("start"), "centre", diagonal(F.col("inverse")).alias("precision"), F.lit(0.0).alias("volume"))
+    second = centre.select("group", F.lit(1).alias("start"), "centre", diagonal(F.transform(floors, lambda f: 1.0 / (f * f))).alias("precision"), F.lit(0.0).alias("volume"))
+    third = _inverted(_moments(rows.withColumn("start", F.lit(2))))
+    return cut(first.unionByName(second).unionByName(third), "estimate")
+
+
+def _moments(rows: DataFrame) -> DataFrame:
+    """Means m<i> and covariances c<i>_<j> of each group and start."""
+    names = list(FEATURES)
+    return cut(rows.groupBy("group", "start").agg(
+        *(F.avg(n).alias(f"m{i}") for i, n in enumerate(names)),
+        *(F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for j in range(len(names)) for i in range(j, len(names))),
+    ), "moments")
 
 
 def _distance() -> Column:
@@ -172,7 +187,8 @@ def _distance() -> Column:
 
 
 def _inverted(moments: DataFrame) -> DataFrame:
-    """(group, centre, precision) from means m<i> and covariances c<i>_<j>, floors added, by Cholesky decomposition."""
+    """(group, start, centre, precision, volume) from moments, floors added, by Cholesky decomposition; volume is the
+    logarithm of the determinant."""
     size, floors = len(FEATURES), list(FEATURES.values())
     low, df = {}, moments
     for j in range(size):
@@ -190,23 +206,30 @@ def _inverted(moments: DataFrame) -> DataFrame:
                 value = -reduce(lambda a, b: a + b, [F.col(f"l{i}_{k}") * F.col(f"v{k}_{j}") for k in range(j, i)]) / F.col(f"l{i}_{i}")
             df = df.withColumn(f"v{i}_{j}", value)
     entry = lambda i, j: reduce(lambda a, b: a + b, [F.col(f"v{k}_{i}") * F.col(f"v{k}_{j}") for k in range(max(i, j), size)])
-    return df.select("group", F.array(*(f"m{i}" for i in range(size))).alias("centre"), F.array(*(F.array(*(entry(i, j) for j in range(size))) for i in range(size))).alias("precision"))
+    volume = 2 * reduce(lambda a, b: a + b, [F.log(f"l{i}_{i}") for i in range(size)])
+    return df.select("group", "start", volume.alias("volume"), F.array(*(f"m{i}" for i in range(size))).alias("centre"), F.array(*(F.array(*(entry(i, j) for j in range(size))) for i in range(size))).alias("precision"))
 
 
-def estimates(rows: DataFrame, steps: int = STEPS, bulk: float = BULK) -> DataFrame:
-    """(group, centre, precision, scale, fitted) from rows of (group, *FEATURES): the bulk's mean, its inverse covariance,
-    the factor that brings the median squared distance to MEDIAN, and the group's number of rows."""
+def concentrate(rows: DataFrame, now: DataFrame, bulk: float = BULK) -> DataFrame:
+    """A concentration step from the estimates now: those of the bulk nearest to each."""
     names = list(FEATURES)
-    now = cut(_start(rows), "estimate")
-    for _ in range(steps):
-        far = rows.join(now, "group").select("group", *names, _bin(_distance()).alias("bin"))
-        edge = cut(_quantile(far, ["group"], "bin", bulk).withColumnRenamed("bin", "edge"), "edge")
-        near = far.join(edge, "group").where("bin <= edge")
-        moments = near.groupBy("group").agg(
-            *(F.avg(n).alias(f"m{i}") for i, n in enumerate(names)),
-            *(F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for j in range(len(names)) for i in range(j, len(names))),
-        )
-        now = cut(_inverted(cut(moments, "moments")), "estimate")
+    far = rows.join(now, "group").select("group", "start", *names, _bin(_distance()).alias("bin"))
+    edge = cut(_quantile(far, ["group", "start"], "bin", bulk).withColumnRenamed("bin", "edge"), "edge")
+    return cut(_inverted(_moments(far.join(edge, ["group", "start"]).where("bin <= edge"))), "estimate")
+
+
+def estimates(rows: DataFrame, steps: int = MOST_STEPS, bulk: float = BULK) -> DataFrame:
+    """(group, start, centre, precision, volume, scale, fitted) from rows of (group, *FEATURES): of each group the start with
+    the least determinant, its bulk's mean and inverse covariance, the factor that brings the median squared distance to
+    MEDIAN, and the group's number of rows."""
+    now = _starts(rows)
+    for step in range(steps):
+        before, now = now, concentrate(rows, now, bulk)
+        moved = now.join(before.select("group", "start", F.col("volume").alias("old")), ["group", "start"])
+        if step and (moved.agg(F.max(F.abs(F.col("volume") - F.col("old")))).first()[0] or 0.0) < SETTLED:
+            break
+    best = now.groupBy("group").agg(F.min_by(F.struct("start", "centre", "precision", "volume"), F.struct("volume", "start")).alias("best"))
+    now = cut(best.select("group", "best.*"), "best")
     far = rows.join(now, "group").select("group", _bin(_distance()).alias("bin"))
     middle = cut(_quantile(far, ["group"], "bin", 0.5).select("group", (_edge(F.col("bin")) / MEDIAN).alias("scale")), "scale")
     counted = cut(rows.groupBy("group").agg(F.count(F.lit(1)).alias("fitted")), "fitted")
@@ -217,17 +240,17 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """One row for each row of df: key, the statistics, base_failed, kept, group and distance (squared, scaled).
 
     Documents that fail the base rules take no part in the estimates and are not kept. Those of groups with fewer than
-    MIN_FIT rows are kept. Null languages and sources are values of their own; null and empty texts fail the base
-    rules. Ties and repeated rows count each; an empty table gives an empty result. Columns other than these four are
+    MIN_GROUP such rows, pooled or not, are kept. Null languages and sources are values of their own; null and empty texts fail the base
+    rules; very long texts are read whole. Ties and repeated rows count each; an empty table gives an empty result. Columns other than these four are
     left out.
     """
     rows = cut(statistics(df.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))), "statistics")
     grouped = cut(_grouped(_vector(rows).withColumn("base_failed", base_failed()), "lang", "source"), "vectors")
     fit = estimates(grouped.where("not base_failed").select("group", *FEATURES))
     joined = grouped.join(fit, "group", "left")
-    distance = F.when(F.col("fitted") >= MIN_FIT, _distance() / F.greatest(F.col("scale"), F.lit(1.0)))
+    distance = F.when(F.col("fitted") >= MIN_GROUP, _distance() / F.greatest(F.col("scale"), F.lit(1.0)))
     judged = joined.withColumn("distance", distance)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF * (1 + SMALL / (F.col("fitted") - len(FEATURES))), F.lit(True))
     return judged.select(F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "group", "distance")
 
 

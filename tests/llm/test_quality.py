@@ -40,17 +40,58 @@ def test_concentration_equals_numpy(spark):
     data, floors = np.array([r[1:] for r in rows]), np.array(list(quality.FEATURES.values()))
     centre = np.array([sorted(np.round(data[:, i] * 1024))[239] / 1024 for i in range(5)])
     spread = np.array([sorted(np.round(np.abs(data[:, i] - centre[i]) * 1024))[239] / 1024 for i in range(5)])
-    precision = np.diag(1 / ((1.4826 * spread) ** 2 + floors**2))
-    for _ in range(quality.STEPS):
-        off = data - centre
-        far = np.einsum("ij,jk,ik->i", off, precision, off)
-        bins = np.ceil(32 * np.log2(np.maximum(far, 1e-6)))
-        near = data[bins <= sorted(bins)[int(np.ceil(0.75 * len(data))) - 1]]
-        centre, precision = near.mean(axis=0), np.linalg.inv(np.cov(near.T, bias=True) + np.diag(floors**2))
+    starts = [(centre, np.diag(1 / ((1.4826 * spread) ** 2 + floors**2))), (centre, np.diag(1 / floors**2)), (data.mean(axis=0), np.linalg.inv(np.cov(data.T, bias=True) + np.diag(floors**2)))]
+    volumes = [None] * 3
+    for step in range(quality.MOST_STEPS):
+        moved = []
+        for k, (centre, precision) in enumerate(starts):
+            off = data - centre
+            far = np.einsum("ij,jk,ik->i", off, precision, off)
+            bins = np.ceil(32 * np.log2(np.maximum(far, 1e-6)))
+            near = data[bins <= sorted(bins)[int(np.ceil(0.75 * len(data))) - 1]]
+            spread = np.cov(near.T, bias=True) + np.diag(floors**2)
+            starts[k], volume = (near.mean(axis=0), np.linalg.inv(spread)), np.linalg.slogdet(spread)[1]
+            moved.append(abs(volume - (volumes[k] or 0)))
+            volumes[k] = volume
+        if step and max(moved) < quality.SETTLED:
+            break
+    best = int(np.argmin(np.round(volumes, 6)))
+    centre, precision = starts[best]
     assert np.allclose(fit["centre"], centre) and np.allclose(np.array(fit["precision"]), precision) and fit["fitted"] == 480
+    assert np.isclose(fit["volume"], min(volumes))  # the least determinant of the three
     assert np.abs(np.array(fit["centre"])).max() < 0.5  # the 80 outliers don't move it
 
 
+def test_steps_never_enlarge_the_determinant_much(spark):
+    chance = np.random.default_rng(13)
+    names = list(quality.FEATURES)
+    rows = spark.createDataFrame([(g, *map(float, x)) for g in "ab" for x in chance.standard_t(2, (300, 5))], ["group", *names])
+    now = quality._starts(rows)
+    volumes = []
+    for _ in range(4):
+        now = quality.concentrate(rows, now)
+        volumes.append({(r["group"], r["start"]): r["volume"] for r in now.collect()})
+    assert len(volumes[0]) == 6
+    assert all(after[k] <= before[k] + 0.05 for before, after in zip(volumes, volumes[1:], strict=False) for k in after)
+
+
+def test_verdicts_stay_when_other_groups_grow(spark):
+    random.seed(14)
+    text = lambda n: " ".join("".join(random.choices("abcdefgh", k=random.randint(2, 9))) for _ in range(n))
+    small = [(n, text(random.choice([30, 60, 200, 3000])) + "#" * (50 * (n % 9 == 0)), "en", "small") for n in range(45)]
+    other = [(1000 + n, text(80), "en", "large") for n in range(40)]
+    more = other + [(2000 + n, text(300), "en", "large") for n in range(400)]
+    schema = "doc_id long, text string, lang string, source string"
+    once, again = ({r["doc_id"]: (r["kept"], r["group"], round(r["distance"], 6)) for r in quality.judge(spark.createDataFrame(small + rest, schema)).where("doc_id < 1000").collect()} for rest in (other, more))
+    assert once == again and {g for _, g, _ in once.values()} == {"=en/=small"}
+
+
+def test_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "word " * 300_000, "en", "s"), (2, "w" * 1_000_000, "en", "s")], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: (r["n_words"], r["n_repeat_words"], r["word_chars"], r["base_failed"]) for r in quality.judge(df).collect()}
+    assert got == {1: (300_000, 300_000, 1_200_000, True), 2: (1, 0, 1_000_000, True)}
+
+
 def test_judging(spark):
     chance, word = random.Random(12), lambda: "".join(random.choices("abcdefgh", k=5))
     random.seed(12)
