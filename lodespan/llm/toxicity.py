@@ -38,12 +38,10 @@ BEGINNINGS = (4, 6)
 #: What the fit chooses from: shares of the examples from which on a term weighs nothing, and numbers of nearest examples.
 FLOORS, NEIGHBOURS = (0.06, 0.25), (8, 50)
 #: Examples that must hold a term, entries of a block, and the least number of examples per calibrated step.
-LEAST, BLOCK, STEP = 2, 64, 5
-#: Blocks that a search scores first.
-FIRST_BLOCKS = 8
+LEAST, BLOCK, STEP = 2, 128, 5
+#: Blocks that a search scores first, and the part of the postings from which on all are added up at once.
+FIRST_BLOCKS, NEARLY_ALL = 2, 0.5
 THRESHOLD, EVIDENCE = 0.3, 3
-#: Bytes that a worker may keep for words with their terms, and what a kept word takes besides its letters and terms.
-KEPT_BYTES, WORD_BYTES = 24_000_000, 220
 
 _words = re.compile(r"\w+").findall
 
@@ -52,36 +50,28 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)]
 
 
-class _Known(dict):
-    """Coordinates of words as the bytes of an int32 array, found when first asked for; beyond KEPT_BYTES it starts anew."""
-
-    def __init__(self, number: dict[str, int]):
-        super().__init__()
-        self.number, self.bytes = number, 0
-
-    def __missing__(self, word: str) -> bytes:
-        if self.bytes > KEPT_BYTES:
-            self.clear()
-            self.bytes = 0
-        found = self[word] = np.array([i for i in map(self.number.get, terms_of(word)) if i is not None], np.int32).tobytes()
-        self.bytes += WORD_BYTES + 4 * len(word) + len(found)
-        return found
-
-    def __reduce__(self):
-        return _Known, (self.number,)
-
-
 class Vectors:
     """TF-IDF vectors over a vocabulary of terms with their inverse document frequencies."""
 
     def __init__(self, idf: dict[str, float]):
         self.idf = np.array(list(idf.values()), np.float64)
-        self.known = _Known({t: i for i, t in enumerate(idf)})
+        places = np.arange(len(idf), dtype=np.int32).tobytes()
+        number = {t: places[4 * i : 4 * i + 4] for i, t in enumerate(idf)}
+        #: The bytes of each word's coordinate, and of each beginning's by length.
+        self.words = {t: n for t, n in number.items() if t[-1] != "*"}
+        self.beginnings = [(size, {t[:-1]: n for t, n in number.items() if t[-1] == "*" and len(t) == size + 1}) for size in BEGINNINGS]
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Coordinates, ascending, and weights of unit length (int32, float32); empty if no term occurs."""
-        every = np.frombuffer(b"".join(map(self.known.__getitem__, _words((text or "").lower()))), np.int32)
-        at, numbers = np.unique(every, return_counts=True)
+        found, whole, beginnings = [], self.words.get, [(size, known.get) for size, known in self.beginnings]
+        add = found.append
+        for word in _words((text or "").lower()):
+            add(whole(word, b""))
+            for size, begin in beginnings:
+                if len(word) <= size:
+                    break
+                add(begin(word[:size], b""))
+        at, numbers = np.unique(np.frombuffer(b"".join(found), np.int32), return_counts=True)
         weights = numbers * self.idf[at]
         return at, (weights / max(math.sqrt(float(weights @ weights)), 1e-300)).astype(np.float32)
 
@@ -109,52 +99,64 @@ class Index:
         # A cell is a term in a block: its block, greatest weight and first posting; cells lie by term.
         block = self.posted // BLOCK
         first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (block[1:] != block[:-1])])) if len(at) else np.empty(0, np.int64)
-        self.cell_block, self.cell_post = block[first], np.append(first, len(at))
+        self.cell_block, self.cell_post = block[first], np.append(first, len(at)).astype(np.int32)
         self.cell_most = np.maximum.reduceat(self.weights, first) if len(at) else np.empty(0, np.float32)
-        self.cells = np.searchsorted(at[first], np.arange(terms + 1))
+        self.cells = np.searchsorted(at[first], np.arange(terms + 1)).astype(np.int32)
         #: Blocks scored by the last search.
         self.scored = 0
 
+    def _cosines(self, first: np.ndarray, last: np.ndarray, factors: np.ndarray) -> np.ndarray:
+        """Of every entry the sum of its weights in the ranges [first, last) of postings, each times the range's factor."""
+        counts = last - first
+        posts = _ranges(first, counts)
+        return np.bincount(self.posted[posts], np.repeat(factors, counts) * self.weights[posts], len(self.ids))
+
     def nearest(self, at: np.ndarray, weights: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
         """Entries and cosines, best first: the fewest that stand for `wanted` examples, and all that tie with the last."""
         self.scored = 0
         found, scores = np.empty(0, np.int64), np.empty(0)
         if not len(at) or not self.blocks:
             return found, scores
-        begins = self.cells[at]
-        counts = self.cells[at + 1] - begins
-        cells = _ranges(begins, counts)
-        query, block = np.repeat(weights.astype(np.float64), counts), self.cell_block[cells]
+        weights = weights.astype(np.float64)
+        begins, ends = self.cells[at], self.cells[at + 1]
+        cells = _ranges(begins, ends - begins)
+        query, block = np.repeat(weights, ends - begins), self.cell_block[cells]
         bounds = np.bincount(block, query * self.cell_most[cells], self.blocks)
         order = np.argsort(-bounds, kind="stable")
-        order, least = order[bounds[order] > 0], 0.0
-        for part in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
-            part = part[bounds[part] >= least - 1e-9]
-            self.scored += len(part)
-            if not len(part):
-                break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[part] = True
-            some = np.flatnonzero(chosen[block])
-            own = cells[some]
-            begins = self.cell_post[own]
-            counts = self.cell_post[own + 1] - begins
-            posts = _ranges(begins, counts)
-            sums = np.bincount(self.posted[posts], np.repeat(query[some], counts) * self.weights[posts], len(self.ids))
-            hit = np.flatnonzero(sums)
-            found, scores = np.append(found, hit), np.append(scores, sums[hit])
-            if len(scores) > wanted:  # each entry stands for an example at least, so what lies below the best `wanted` is out
-                kept = scores >= np.partition(scores, -wanted)[-wanted] - 1e-9
-                found, scores = found[kept], scores[kept]
-            best = np.lexsort((found, -scores))
-            found, scores = found[best], scores[best]
-            last = int(np.searchsorted(np.cumsum(self.examples[found]), wanted))
-            if last < len(found):
-                least = scores[last]
-                kept = scores >= least - 1e-9
-                found, scores = found[kept], scores[kept]
+        order = order[bounds[order] > 0]
+        if len(order) > FIRST_BLOCKS:
+            sums = self._some(order[:FIRST_BLOCKS], cells, block, query)
+            # An entry stands for an example at least, so the `wanted` best examples reach this.
+            least = np.partition(sums, -wanted)[-wanted] if len(sums) > wanted else 0.0
+            part = order[bounds[order] >= least - 1e-9]
+        else:
+            part, least = order, 0.0
+        self.scored = len(part)
+        if len(part) > NEARLY_ALL * len(order):  # ranges of whole terms are quicker than cells
+            sums = self._cosines(self.cell_post[begins], self.cell_post[ends], weights)
+        else:
+            sums = self._some(part, cells, block, query)
+        found = np.flatnonzero(sums > max(0.0, least - 1e-9))
+        scores = sums[found]
+        if len(scores) > wanted:
+            kept = scores >= np.partition(scores, -wanted)[-wanted] - 1e-9
+            found, scores = found[kept], scores[kept]
+        best = np.lexsort((found, -scores))
+        found, scores = found[best], scores[best]
+        last = int(np.searchsorted(np.cumsum(self.examples[found]), wanted))
+        if last < len(found):
+            kept = scores >= scores[last] - 1e-9
+            found, scores = found[kept], scores[kept]
         return found, scores
 
+    def _some(self, blocks: np.ndarray, cells: np.ndarray, block: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Cosines of all entries, but 0 outside of blocks."""
+        chosen = np.zeros(self.blocks, bool)
+        chosen[blocks] = True
+        some = np.flatnonzero(chosen[block])
+        own = cells[some]
+        return self._cosines(self.cell_post[own], self.cell_post[own + 1], query[some])
+
 
 @dataclass
 class Model:
@@ -168,15 +170,11 @@ class Model:
     #: Examples that vote.
     neighbours: int = max(NEIGHBOURS)
 
-    def vote(self, at: np.ndarray, weights: np.ndarray) -> tuple[float | None, list[tuple[int, float, float]]]:
-        """Share of the nearest examples' similarity that is labelled, and the nearest entries."""
-        entries, scores = self.index.nearest(at, weights, self.neighbours)
-        top = [(int(self.index.ids[e]), float(s), float(self.index.toxic[e] / self.index.weight[e])) for e, s in zip(entries[:EVIDENCE], scores, strict=False)]
-        return _share(scores, self.index.toxic[entries], self.index.weight[entries]), top
-
-    def score(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[float, list]:
-        share, top = self.vote(*vector)
-        return (self.blank if share is None else float(calibrated(self.steps, share))), top
+    def score(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+        """The calibrated vote, and the nearest entries with their cosines."""
+        entries, scores = self.index.nearest(*vector, self.neighbours)
+        share = _share(scores, self.index.toxic[entries], self.index.weight[entries])
+        return (self.blank if share is None else float(calibrated(self.steps, share))), entries[:EVIDENCE], scores[:EVIDENCE]
 
 
 def _share(scores: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float | None:
@@ -295,9 +293,9 @@ def _fitted(examples: DataFrame, terms: DataFrame, weight: dict[int, float]) ->
     without itself."""
     found = terms.orderBy(F.desc("share"), "term").toArrow()  # bounded by the examples' texts
     vectors = Vectors(dict(zip(found["term"].to_pylist(), (-np.log(found["share"].to_numpy())).tolist(), strict=True)))
-    rows = cut(_vectors(examples.select("id", "toxic", "text"), vectors), "vectors")
+    rows = _vectors(examples.select("id", "toxic", "text"), vectors)
     index, blank = _index(rows.orderBy("id").toArrow(), len(vectors.idf), weight)
-    points = _own_votes(rows.select("toxic", "at", "weights"), index, weight).toArrow()
+    points = _own_votes(rows.select("toxic", "at", "weights"), index, weight)
     labels = points["toxic"].to_numpy().astype(float)
     weights = np.where(labels == 1, weight[1], weight[0])
     for i, wanted in enumerate(NEIGHBOURS):
@@ -327,6 +325,7 @@ def _index(rows: pa.Table, terms: int, weight: dict[int, float]) -> tuple[Index,
 
 
 def _vectors(df: DataFrame, vectors: Vectors) -> DataFrame:
+    """(id, toxic, at, weights) of examples, written."""
     names, shared = [c for c in df.columns if c != "text"], df.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,10 +334,12 @@ def _vectors(df: DataFrame, vectors: Vectors) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([a for a, _ in made], pa.list_(pa.int32())), pa.array([w for _, w in made], pa.list_(pa.float32()))], [*names, "at", "weights"])
 
     schema = T.StructType([df.schema[n] for n in names] + [T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.FloatType()))])
-    return df.mapInArrow(run, schema)
+    out = cut(df.mapInArrow(run, schema), "vectors")
+    shared.destroy()
+    return out
 
 
-def _own_votes(rows: DataFrame, index: Index, weight: dict[int, float]) -> DataFrame:
+def _own_votes(rows: DataFrame, index: Index, weight: dict[int, float]) -> pa.Table:
     """(toxic, v0, v1, ...): each example's label and votes; null where nothing is near."""
     shared, names = rows.sparkSession.sparkContext.broadcast(index), [f"v{i}" for i in range(len(NEIGHBOURS))]
 
@@ -349,12 +350,21 @@ def _own_votes(rows: DataFrame, index: Index, weight: dict[int, float]) -> DataF
             columns = zip(*votes, strict=True) if votes else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), *(pa.array(v, pa.float64()) for v in columns)], ["toxic", *names])
 
-    return rows.mapInArrow(run, ", ".join(["toxic int", *(f"{n} double" for n in names)]))
+    out = rows.mapInArrow(run, ", ".join(["toxic int", *(f"{n} double" for n in names)])).toArrow()
+    shared.destroy()
+    return out
 
 
 EVIDENCE_TYPE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("toxic", T.DoubleType())]))
 
 
+def _evidence(index: Index, found: list[tuple[float, np.ndarray, np.ndarray]]) -> pa.ListArray:
+    entries = np.concatenate([f[1] for f in found])
+    ends = np.cumsum([0, *(len(f[1]) for f in found)], dtype=np.int32)
+    columns = [index.ids[entries], np.concatenate([f[2] for f in found]), index.toxic[entries] / index.weight[entries]]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(c) for c in columns], ["doc_id", "similarity", "toxic"]))
+
+
 def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
     """df (without text unless keep_text) with score, the calibrated probability of the label, and evidence.
 
@@ -367,19 +377,14 @@ def score(df: DataFrame, model: Model, text: str = "text", keep_text: bool = Fal
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the two sample sizes
     kept = [c for c in df.columns if c not in ("score", "evidence") and (keep_text or c != text)]
     inner, content, names = numbered(df), place(df, text), [place(df, c) for c in kept]
-    arrow = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
                 batch = whole.slice(start, 500)
-                scores, evidence = [], []
-                for one in batch.column(content).to_pylist():
-                    value, top = fitted.score(fitted.vectors.vector(one))
-                    scores.append(value)
-                    evidence.append([dict(zip(("doc_id", "similarity", "toxic"), t, strict=True)) for t in top])
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(scores, pa.float64()), pa.array(evidence, arrow)], [*names, "score", "evidence"])
+                found = [fitted.score(fitted.vectors.vector(one)) for one in batch.column(content).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([f[0] for f in found], pa.float64()), _evidence(fitted.index, found)], [*names, "score", "evidence"])
 
     schema = T.StructType([inner.schema[n] for n in names] + [T.StructField("score", T.DoubleType()), T.StructField("evidence", EVIDENCE_TYPE)])
     return inner.mapInArrow(run, schema).toDF(*kept, "score", "evidence")
