@@ -28,11 +28,11 @@ from lodespan.llm.frames import numbered, place
 from lodespan.session import make_importable
 
 #: Bytes that a worker keeps of encoded pre-tokens, of their beginnings, and of token pairs; beyond them it starts anew.
-PIECE_BYTES, STEM_BYTES, PAIR_BYTES = 16_000_000, 8_000_000, 16_000_000
+PIECE_BYTES, STEM_BYTES, PAIR_BYTES = 80_000_000, 24_000_000, 32_000_000
 #: What an entry takes besides its letters and tokens: objects' heads and their places in a dictionary.
 ENTRY_BYTES, PAIR_ENTRY = 220, 136
 #: Beginnings of pre-tokens, in bytes, whose entries are kept for words that begin alike.
-STEMS = (9, 6)
+STEMS = (10, 7, 5)
 
 
 class Vocabulary:
@@ -43,7 +43,8 @@ class Vocabulary:
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.longest = max(map(len, ranks), default=0)
+        self.sizes = list(map(len, self.tokens))
+        self.longest = max(self.sizes, default=0)
         #: Every ending of a token, with its rank or -1: a search backwards from a byte stops where none fits.
         self.endings = {token[i:]: -1 for token in ranks for i in range(1, len(token))} | ranks
         self._halves: dict[int, tuple[int, int]] = {}
@@ -95,6 +96,31 @@ class Vocabulary:
                     continue
                 until, right = right + 1, self.halves(right)[0]
 
+    def extend(self, data: bytes, last: list[int], size: int) -> None:
+        """Adds to last, the last tokens of the shorter prefixes of data, those of the prefixes up to size bytes."""
+        ending, beside, adjacent = self.endings.get, self.beside.get, self.adjacent
+        for end in range(len(last) + 1, size + 1):
+            start = end - 1
+            while (token := ending(data[start:end])) is not None:
+                if token >= 0 and (start == 0 or ((known := beside(last[start - 1] << 32 | token)) is None and adjacent(last[start - 1], token)) or known):
+                    last.append(token)
+                    break
+                if start == 0:
+                    raise ValueError(f"no token ends at byte {end}")
+                start -= 1
+            else:
+                raise ValueError(f"no token ends at byte {end}")
+
+    def spelled(self, last: list[int]) -> list[int]:
+        """The tokens of the whole, read off backwards."""
+        out, end, sizes = [], len(last), self.sizes
+        while end:
+            token = last[end - 1]
+            out.append(token)
+            end -= sizes[token]
+        out.reverse()
+        return out
+
 
 class Prefixes:
     """The last token of each byte prefix of `data`; `last[i]` belongs to the first i + 1 bytes."""
@@ -106,7 +132,7 @@ class Prefixes:
     def append(self, more: bytes) -> None:
         """Adds bytes at the end; entries of the old prefixes stay."""
         self.data += more
-        self._extend(len(self.data))
+        self.vocabulary.extend(self.data, self.last, len(self.data))
 
     def cut(self, size: int) -> None:
         """Keeps the first size bytes."""
@@ -117,10 +143,10 @@ class Prefixes:
         """Puts new in place of data[start:end]; returns how many entries had to be computed."""
         old, tail, done = self.last, self.data[end:], 0
         self.data, self.last = self.data[:start] + new + tail, old[:start]
-        self._extend(start + len(new))
+        self.vocabulary.extend(self.data, self.last, start + len(new))
         done, same, shift = len(new), 0, end - start - len(new)
         while len(self.last) < len(self.data):
-            self._extend(len(self.last) + 1)
+            self.vocabulary.extend(self.data, self.last, len(self.last) + 1)
             done += 1
             # After as many equal entries as the longest token has bytes, nothing before them matters any more.
             same = same + 1 if self.last[-1] == old[len(self.last) - 1 + shift] else 0
@@ -128,64 +154,54 @@ class Prefixes:
                 self.last += old[len(self.last) + shift :]
         return done
 
-    def _extend(self, size: int) -> None:
-        data, last, ending, beside, adjacent = self.data, self.last, self.vocabulary.endings.get, self.vocabulary.beside.get, self.vocabulary.adjacent
-        for end in range(len(last) + 1, size + 1):
-            start = end - 1
-            while (token := ending(data[start:end])) is not None:
-                if token >= 0 and (start == 0 or ((known := beside(last[start - 1] << 32 | token)) is None and adjacent(last[start - 1], token)) or known):
-                    last.append(token)
-                    break
-                if start == 0:
-                    raise ValueError(f"no token ends at byte {end}")
-                start -= 1
-            else:
-                raise ValueError(f"no token ends at byte {end}")
-
     def ids(self) -> list[int]:
-        out, end = [], len(self.data)
-        while end:
-            token = self.last[end - 1]
-            out.append(token)
-            end -= len(self.vocabulary.tokens[token])
-        return out[::-1]
+        return self.vocabulary.spelled(self.last)
 
 
 class _Pieces(dict):
-    """Encodings of pre-tokens, made when first asked for."""
+    """Encodings of pre-tokens, made when first asked for; words that begin alike share the entries of their beginning."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary, self.stems, self.bytes, self.stem_bytes = vocabulary, {}, 0, 0
+        #: The generation before: what of it is asked for again moves on, the rest goes with the next change.
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        whole = self.vocabulary.ranks.get(data)
-        ids = (whole,) if whole is not None else tuple(self._prefixes(data).ids())
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self._made(piece)
         if len(piece) <= 64:
-            if self.bytes >= PIECE_BYTES:
+            if self.bytes >= PIECE_BYTES // 2:
+                self.old = dict(self)
                 self.clear()
                 self.bytes = 0
             self[piece] = ids
             self.bytes += ENTRY_BYTES + 4 * len(piece) + 8 * len(ids)
         return ids
 
-    def _prefixes(self, data: bytes) -> Prefixes:
-        """Words with the same beginning share its entries."""
-        out = Prefixes(self.vocabulary)
-        for size in STEMS:
-            if stem := self.stems.get(data[:size]):
-                out.data, out.last = data[:size], stem[:]
-                break
-        out.append(data[len(out.data) :])
-        if self.stem_bytes >= STEM_BYTES:
-            self.stems.clear()
-            self.stem_bytes = 0
+    def _made(self, piece: str) -> tuple[int, ...]:
+        data = piece.encode()
+        whole = self.vocabulary.ranks.get(data)
+        if whole is not None:
+            return (whole,)
+        last = self._beginning(data)
+        done = len(last)
+        self.vocabulary.extend(data, last, len(data))
         for size in STEMS:
-            if size < len(data) and data[:size] not in self.stems:
-                self.stems[data[:size]] = out.last[:size]
+            if done < size < len(data):
+                if self.stem_bytes >= STEM_BYTES:
+                    self.stems.clear()
+                    self.stem_bytes = 0
+                self.stems[data[:size]] = last[:size]
                 self.stem_bytes += ENTRY_BYTES + 9 * size
-        return out
+        return tuple(self.vocabulary.spelled(last))
+
+    def _beginning(self, data: bytes) -> list[int]:
+        for size in STEMS:
+            if stem := self.stems.get(data[:size]):
+                return stem[:]
+        return []
 
 
 class Encoder:
