@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodespan.operators import frontier, pages
-from lodespan.session import make_importable
+from lodespan.session import cut, make_importable
 
 SUCCESS, RATE_LIMITED, ERROR = "success", "rate_limited", "error"
 
@@ -93,6 +93,7 @@ def step(known: DataFrame, rules: DataFrame, get: Callable[[DataFrame], DataFram
     Forbidden and fetched addresses are done; failed and rate-limited ones stay pending. get fetches a round's addresses.
     """
     plan, after = frontier.round_of(known, rules)
-    got = get(plan).where(F.col("status") == SUCCESS).select("url", "mime_type", "content")
+    # Written, so that no address is fetched again when the pages are read for links and for the frontier.
+    got = cut(get(plan).where(F.col("status") == SUCCESS).select("url", "mime_type", "content"), "fetched")
     links = pages.links(got).select(F.col("dst_url").alias("url"))
     return got, frontier.add(links, frontier.mark_done(after, got))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from lodespan.functions import stem, text, urls
 from lodespan.operators import vectors
+from lodespan.schemas import DIMENSIONS
 from lodespan.session import make_importable
 
 LIMIT = 5
@@ -53,15 +54,17 @@ def results(ranked: DataFrame) -> DataFrame:
     return ordered.select("url", "title", "description", "text", F.col("vector_distance").cast("float"), F.col("score").cast("float").alias("cross_encoder_score"), text.snippet(F.col("text")).alias("snippet"))
 
 
-def search(table: DataFrame, query: str, limit: int = LIMIT, embedder=None, reranker=overlap, site: str | None = None) -> DataFrame:
+def search(table: DataFrame, query: str, limit: int = LIMIT, embedder=None, reranker=overlap, site: str | None = None, dimensions: int = DIMENSIONS) -> DataFrame:
     """The chunks nearest to the query, reranked: exactly `limit` candidates are reranked, none beyond.
 
     table has url, chunk_id, title, description, text, vector. A blank query is an error. reranker is a function of the
-    query's and a text's column, or None for the order by distance. site keeps one host's chunks and is pushed down.
+    query's and a text's column, or None for the order by distance. site keeps one host's chunks and is pushed down. The
+    table is read twice, for distances and for the texts of the nearest: give a stored one. Without an embedder vectors
+    are hashed to so many dimensions.
     """
     if not query or not query.strip():
         raise ValueError("the query is blank")
-    embed = embedder or vectors.hashed(len(table.select("vector").first()[0]) if not table.isEmpty() else 384)
+    embed = embedder or vectors.hashed(dimensions)
     point = [float(x) for x in embed([query])[0]]
     rows = table.where(urls.host(F.col("url")) == site.lower()) if site else table
     top = vectors.nearest(rows, point, limit, ["url", "chunk_id"])

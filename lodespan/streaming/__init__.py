@@ -7,6 +7,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodespan.operators import pages
@@ -17,7 +18,7 @@ from lodespan.sources import tables
 
 def ingest(spark: SparkSession, messages: str, blobs: str, out: str, dead: str, checkpoint: str) -> None:
     """Reads all JSON message files under `messages` that weren't read before, joins their blobs, and appends the chunks
-    to `out` and bad messages to `dead`; ends when none is left.
+    to `out` and bad messages and those without a blob, with the reason, to `dead`; ends when none is left.
 
     Offsets are checkpointed and each batch overwrites its own folder, so a batch that is run again changes nothing.
     """
@@ -25,9 +26,12 @@ def ingest(spark: SparkSession, messages: str, blobs: str, out: str, dead: str,
 
     def take(batch: DataFrame, number: int) -> None:
         good, bad = tables.from_messages(batch, DOCUMENT_MESSAGE)
-        parsed = pages.parse(tables.with_content(good, spark.read.schema(BLOBS).parquet(blobs)))
+        stored = spark.read.schema(BLOBS).parquet(blobs)
+        parsed = pages.parse(tables.with_content(good, stored))
         pages.chunks(parsed).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        bad.write.mode("overwrite").parquet(f"{dead}/batch={number}")
+        lost = tables.lost_blobs(good, stored).withColumn("reason", F.lit("blob not found"))
+        dead_ones = bad.withColumn("reason", F.lit("not a document message")).unionByName(lost)
+        dead_ones.write.mode("overwrite").parquet(f"{dead}/batch={number}")
 
     query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from lodespan.sources import tables
 
 def test_robots(spark):
     got = {r["domain"]: (r["disallowed"], r["allowed"], r["crawl_delay_s"]) for r in robots.rules(spark.createDataFrame(fixtures.ROBOTS, "domain string, body string"), "LodespanBot").collect()}
-    assert got == {"a.example": (["/admin/", "/private/"], ["/admin/public/"], 5), "b.example": (["/a/", "/b/"], [], 2), "c.example": ([], [], 2), "d.example": (["/Kept/Case"], [], 7)}
+    assert got == {"a.example": (["/charts/", "/logs/"], ["/charts/open/"], 5), "b.example": (["/tides/", "/ferries/"], [], 2), "c.example": ([], [], 2), "d.example": (["/Kept/Case"], [], 7)}
 
 
 def test_path_rules(spark):
@@ -130,6 +132,36 @@ def test_messages_and_stream(spark, tmp_path):
     assert spark.read.parquet(f"{root}/dead").count() == 1
 
 
+def test_lost_blobs_are_dead_letters(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    stored = spark.createDataFrame([("https://e.com/a", "text/html", bytearray(b"<p>Here."))], "url string, mime_type string, content binary")
+    messages = tables.store_blobs(stored, f"{root}/blobs")
+    lost = spark.createDataFrame([("https://e.com/b", "nowhere", "text/html"), ("https://e.com/c", None, "text/html")], messages.schema)
+    tables.to_messages(messages.unionByName(lost)).write.text(f"{root}/messages")
+    streaming.ingest(spark, f"{root}/messages", f"{root}/blobs", f"{root}/chunks", f"{root}/dead", f"{root}/checkpoint")
+    dead = spark.read.parquet(f"{root}/dead").collect()
+    assert len(dead) == 2 and {r["reason"] for r in dead} == {"blob not found"}
+    assert spark.read.parquet(f"{root}/chunks").count() == 1
+
+
+def test_a_round_fetches_each_address_once(spark, tmp_path):
+    log = tmp_path / "fetched"
+    log.mkdir()
+
+    def factory():
+        def one(url):
+            (log / f"{time.time_ns()}-{url.rsplit('/', 1)[-1]}").touch()
+            return crawl.Fetched(crawl.SUCCESS, b"<a href=/next>x</a>", "text/html")
+
+        return one
+
+    known = spark.createDataFrame([(f"https://e.com/{x}", "pending") for x in "ab"], FRONTIER)
+    rules = spark.createDataFrame([], "domain string, disallowed array<string>, allowed array<string>, crawl_delay_s long")
+    got, after = crawl.step(known, rules, lambda urls: crawl.fetch(urls, factory))
+    assert got.count() == 2 and after.count() == 3 and after.count() == 3
+    assert sorted(p.name[-1] for p in log.iterdir()) == ["a", "b"]
+
+
 def test_vector_table(spark):
     schema = spark.createDataFrame([], "url string, vector array<float>").schema
     spark.sql("drop table if exists vectors_test")
