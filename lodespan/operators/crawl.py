@@ -87,12 +87,13 @@ def robots_bodies(domains: DataFrame, factory: Callable[[], Fetcher] = HttpFetch
     return got.select("domain", F.when(F.col("status") == SUCCESS, F.make_valid_utf8(F.col("content").cast("string"))).alias("body"))
 
 
-def step(known: DataFrame, rules: DataFrame, get: Callable[[DataFrame], DataFrame] = fetch) -> tuple[DataFrame, DataFrame]:
+def step(known: DataFrame, rules: DataFrame, get: Callable[[DataFrame], DataFrame] = fetch, blocked: DataFrame | None = None, now_s: int = 0) -> tuple[DataFrame, DataFrame]:
     """One round: the pages fetched (url, mime_type, content), and the frontier with their links and states.
 
-    Forbidden and fetched addresses are done; failed and rate-limited ones stay pending. get fetches a round's addresses.
+    Forbidden and fetched addresses are done; failed and rate-limited ones stay pending. get fetches a round's addresses;
+    blocked and now_s hold rate-limited domains back, see frontier.round_of.
     """
-    plan, after = frontier.round_of(known, rules)
+    plan, after = frontier.round_of(known, rules, blocked, now_s)
     # Written, so that no address is fetched again when the pages are read for links and for the frontier.
     got = cut(get(plan).where(F.col("status") == SUCCESS).select("url", "mime_type", "content"), "fetched")
     links = pages.links(got).select(F.col("dst_url").alias("url"))

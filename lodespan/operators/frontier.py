@@ -61,8 +61,16 @@ def consecutive_errors(outcomes: DataFrame) -> DataFrame:
     return runs.withColumn("errors", F.count_if("limited").over(in_run)).drop("run").withColumn("backoff_s", F.when(F.col("limited"), robots.backoff(F.lit(robots.DELAY), F.col("errors") - 1)))
 
 
-def round_of(frontier: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One batch of crawling: addresses to fetch with their start_s, and the frontier in which forbidden ones are done."""
+def round_of(frontier: DataFrame, rules: DataFrame, blocked: DataFrame | None = None, now_s: int = 0) -> tuple[DataFrame, DataFrame]:
+    """One batch of crawling: addresses to fetch with their start_s, and the frontier in which forbidden ones are done.
+
+    blocked (domain, blocked_until), as crawl states give it, holds a domain back: none of its addresses starts before
+    blocked_until. start_s counts from now_s.
+    """
     known = judged(frontier, rules)
-    arrivals = known.where("allowed_to_crawl").withColumn("arrival_s", F.lit(0).cast("long")).withColumn("seq", F.col("url"))
+    wait = F.lit(0).cast("long")
+    if blocked is not None:
+        known = known.join(blocked.select("domain", "blocked_until"), "domain", "left")
+        wait = F.greatest(F.coalesce(F.col("blocked_until") - now_s, wait), wait)
+    arrivals = known.where("allowed_to_crawl").withColumn("arrival_s", wait).withColumn("seq", F.col("url"))
     return schedule(arrivals).select("url", "domain", "number", "start_s"), mark_done(frontier, known.where("not allowed_to_crawl"))

@@ -72,6 +72,13 @@ def rows_of(messages: DataFrame, dimensions: int | None = None) -> tuple[DataFra
     return rows, messages.where(~good).withColumn("reason", F.lit("Chunks and embeddings length mismatch"))
 
 
+def messages_of(rows: DataFrame) -> DataFrame:
+    """Vector messages (url, title, description, chunks, embeddings) of embedded chunks, one for each address."""
+    parts = F.sort_array(F.collect_list(F.struct("chunk_id", "text", "vector")))
+    grouped = rows.groupBy("url").agg(F.first("title", ignorenulls=True).alias("title"), F.first("description", ignorenulls=True).alias("description"), parts.alias("parts"))
+    return grouped.select("url", "title", "description", F.col("parts.text").alias("chunks"), F.col("parts.vector").alias("embeddings"))
+
+
 def squared_distance(a: Column, b: Column) -> Column:
     """Squared Euclidean distance in double precision; null for vectors of unequal length."""
     off = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))

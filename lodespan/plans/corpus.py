@@ -396,6 +396,32 @@ def stream_ingest(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(f"{root}/chunks").select("url", "title", "chunk_id", "text")
 
 
+@query("vector_stream", "SELECT vec_id, 0 AS chunk_id, 'chunk ' || vec_id AS text, len(embedding)::INT AS dimensions, round(embedding[1]::DOUBLE, 5) AS first FROM embeddings")
+def vector_stream(spark: SparkSession, base: str) -> DataFrame:
+    """Stored vectors as messages through the vector stream, and the rows it stored."""
+    root, none = scratch(spark, "vectors"), F.lit(None).cast("string")
+    stored = table(spark, base, "embeddings")
+    rows = stored.select(F.col("vec_id").cast("string").alias("url"), none.alias("title"), none.alias("description"), F.lit(0).alias("chunk_id"), F.concat(F.lit("chunk "), F.col("vec_id")).alias("text"), F.col("embedding").alias("vector"))
+    tables.to_messages(vectors.messages_of(rows)).write.text(f"{root}/messages")
+    streaming.index(spark, f"{root}/messages", f"{root}/rows", f"{root}/dead", f"{root}/checkpoint", 64)
+    return spark.read.parquet(f"{root}/rows").select(F.col("url").cast("long").alias("vec_id"), "chunk_id", "text", F.size("vector").alias("dimensions"), F.round(F.col("vector")[0].cast("double"), 5).alias("first"))
+
+
+_BLOCKED = "(SELECT user_id, max(floor(epoch(ts))::BIGINT) AS until FROM events GROUP BY user_id)"
+
+
+@query("backoff_gate", f"""
+SELECT user_id || '.example' AS domain, 'https://' || user_id || '.example/' AS url, greatest(until - 1700000000, 0)::BIGINT AS start_s FROM {_BLOCKED}
+""")
+def backoff_gate(spark: SparkSession, base: str) -> DataFrame:
+    """When an address of each blocked domain may be fetched."""
+    last = _events(spark, base).groupBy("domain").agg(F.max("at").alias("blocked_until"))
+    blocked = last.select(F.concat(F.col("domain"), F.lit(".example")).alias("domain"), "blocked_until")
+    known = blocked.select(F.concat(F.lit("https://"), F.col("domain"), F.lit("/")).alias("url"), F.lit(frontier.PENDING).alias("status"))
+    rules = spark.createDataFrame([], "domain string, disallowed array<string>, allowed array<string>, crawl_delay_s long")
+    return frontier.round_of(known, rules, blocked, 1_700_000_000)[0].select("domain", "url", "start_s")
+
+
 @query("stream_frontier", f"""
 SELECT user_id AS domain, count(*)::BIGINT AS fetches, arg_max(errors, row(at_s, event_id))::BIGINT AS errors,
   arg_max(CASE WHEN limited THEN at_s + least(300, 2 * pow(2, least(errors - 1, 9)))::BIGINT ELSE 0 END, row(at_s, event_id))::BIGINT AS blocked_until

@@ -1,4 +1,4 @@
-"""Structured Streaming: ingest of document messages, and crawl states by domain."""
+"""Structured Streaming: ingest of document messages, of vector messages, and crawl states by domain."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodespan.operators import pages
-from lodespan.schemas import BLOBS, DOCUMENT_MESSAGE
+from lodespan.operators import pages, vectors
+from lodespan.schemas import BLOBS, DOCUMENT_MESSAGE, VECTOR_MESSAGE
 from lodespan.session import make_importable
 from lodespan.sources import tables
 
@@ -37,6 +37,24 @@ def ingest(spark: SparkSession, messages: str, blobs: str, out: str, dead: str,
     query.awaitTermination()
 
 
+def index(spark: SparkSession, messages: str, out: str, dead: str, checkpoint: str, dimensions: int | None = None) -> None:
+    """Reads all JSON vector message files under `messages` that weren't read before and appends their rows (url, title,
+    description, chunk_id, text, vector) to `out`; texts that are no messages and those with unequal numbers of chunks and
+    embeddings, or vectors of other than `dimensions`, go to `dead` with the reason. Ends when none is left; a batch that
+    is run again changes nothing.
+    """
+    stream = spark.readStream.format("text").load(messages)
+
+    def take(batch: DataFrame, number: int) -> None:
+        good, bad = tables.from_messages(batch, VECTOR_MESSAGE)
+        rows, unequal = vectors.rows_of(good, dimensions)
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        odd = unequal.select(F.to_json(F.struct(*good.columns)).alias("value"), "reason")
+        bad.withColumn("reason", F.lit("not a vector message")).unionByName(odd).write.mode("overwrite").parquet(f"{dead}/batch={number}")
+
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def crawl_states(outcomes: DataFrame, delay_s: int = 2, longest: int = 300) -> DataFrame:
     """(domain, fetches, errors, blocked_until) after each batch of outcomes (domain, at, limited), from keyed state.
 

@@ -132,6 +132,27 @@ def test_messages_and_stream(spark, tmp_path):
     assert spark.read.parquet(f"{root}/dead").count() == 1
 
 
+def test_vector_stream(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    rows = spark.createDataFrame([("u", "t", None, i, f"part {i}", [float(i), 1.0]) for i in (1, 0)], "url string, title string, description string, chunk_id int, text string, vector array<float>")
+    messages = tables.to_messages(vectors.messages_of(rows))
+    odd = spark.createDataFrame([("{bad",), ('{"url":"v","chunks":["a","b"],"embeddings":[[1.0,2.0]]}',), ('{"url":"w","chunks":["a"],"embeddings":[[1.0]]}',)], "value string")
+    messages.unionByName(odd).write.text(f"{root}/messages")
+    for _ in range(2):
+        streaming.index(spark, f"{root}/messages", f"{root}/rows", f"{root}/dead", f"{root}/checkpoint", 2)
+    got = spark.read.parquet(f"{root}/rows").orderBy("chunk_id").collect()
+    assert [(r["url"], r["title"], r["chunk_id"], r["text"], r["vector"]) for r in got] == [("u", "t", 0, "part 0", [0.0, 1.0]), ("u", "t", 1, "part 1", [1.0, 1.0])]
+    assert spark.read.parquet(f"{root}/dead").count() == 3
+
+
+def test_blocked_domains_wait(spark):
+    known = spark.createDataFrame([(f"https://{x}.com/{i}", "pending") for x in "ab" for i in range(2)], FRONTIER)
+    rules = spark.createDataFrame([("a.com", [], [], 3)], "domain string, disallowed array<string>, allowed array<string>, crawl_delay_s long")
+    blocked = spark.createDataFrame([("a.com", 1050), ("b.com", 900)], "domain string, blocked_until long")
+    plan, _ = frontier.round_of(known, rules, blocked, 1000)
+    assert sorted((r["url"][8:], r["start_s"]) for r in plan.collect()) == [("a.com/0", 50), ("a.com/1", 53), ("b.com/0", 0), ("b.com/1", 2)]
+
+
 def test_lost_blobs_are_dead_letters(spark, tmp_path):
     root = f"file://{tmp_path}"
     stored = spark.createDataFrame([("https://e.com/a", "text/html", bytearray(b"<p>Here."))], "url string, mime_type string, content binary")
