@@ -183,9 +183,11 @@ def canonical(text: Column) -> Column:
     """The wording of a text: words in lower case with one space between and around them; null counts as empty."""
     lower = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
     bare = F.regexp_replace(lower, COPYRIGHT, " ")
-    words = F.concat(F.lit(" "), F.regexp_replace(bare, PUNCTUATION, " "), F.lit(" "))
-    plain = F.regexp_replace(words, "  +", " ")
-    return reduce(lambda c, pair: F.replace(c, F.lit(f" {pair[0]} "), F.lit(f" {pair[1]} ")), SPELLINGS, plain)
+    # Two spaces between words, so that a spelling found takes none from the next word's.
+    words = F.concat(F.lit(" "), F.regexp_replace(bare, PUNCTUATION, "  "), F.lit(" "))
+    spaced = lambda words: " " + words.replace(" ", "  ") + " "
+    spelled = reduce(lambda c, pair: F.replace(c, F.lit(spaced(pair[0])), F.lit(spaced(pair[1]))), SPELLINGS, words)
+    return F.regexp_replace(spelled, "  +", " ")
 
 
 def digest(wording: Column) -> Column:
@@ -239,9 +241,13 @@ def _sql_text(value: str) -> str:
 
 
 def _sql_canonical(text: str) -> str:
+    """By words: each spelled by a CASE, pairs of words afterwards, twice, as neighbours share a space."""
     bare = f"regexp_replace(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), {_sql_text(COPYRIGHT)}, ' ', 'g')"
-    plain = f"regexp_replace(' ' || regexp_replace({bare}, {_sql_text(PUNCTUATION)}, ' ', 'g') || ' ', '  +', ' ', 'g')"
-    return reduce(lambda c, pair: f"replace({c}, ' {pair[0]} ', ' {pair[1]} ')", SPELLINGS, plain)
+    words = f"string_split(trim(regexp_replace({bare}, {_sql_text(PUNCTUATION)}, ' ', 'g'), ' '), ' ')"
+    cases = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPELLINGS if " " not in a)
+    joined = f"' ' || array_to_string(list_transform({words}, lambda w: CASE w {cases} ELSE w END), ' ') || ' '"
+    pairs = [p for p in SPELLINGS if " " in p[0]]
+    return f"regexp_replace({reduce(lambda c, pair: f"replace({c}, ' {pair[0]} ', ' {pair[1]} ')", [*pairs, *pairs], joined)}, '  +', ' ', 'g')"
 
 
 def sql() -> str:

@@ -58,3 +58,17 @@ def test_long_texts_names_before_years_and_more_notices(spark):
     got = {r["doc_id"]: r for r in licenses.digests(df).collect()}
     assert [got[n]["license"] for n in range(8)] == ["GPL-3.0-only", "GPL-3.0-only", "Apache-2.0", "MPL-2.0", "MIT", "MIT", None, None]
     assert got[7]["notices"] == "Apache-2.0,LGPL-2.1-or-later"
+
+
+def test_neighbouring_spellings(spark):
+    rows = [("licence licence licence", "license license license"), ("per cent, per cent per cent", "percent percent percent"), ("sub-licence Sub licence", "sublicense sublicense"), ("élicence licence's", "élicence license s"), ("", ""), (None, "")]
+    df = spark.createDataFrame(rows, "text string, wanted string")
+    assert all(r[0] == (f" {r[1]} " if r[1] else " ") for r in df.select(licenses.canonical(licenses.F.col("text")), "wanted").collect())
+    got = duckdb.sql("SELECT " + licenses._sql_canonical("text") + " FROM (VALUES " + ", ".join(f"({licenses._sql_text(t)})" for t, _ in rows if t is not None) + ") AS t(text)").fetchall()
+    assert [g[0].strip() for g in got] == [w for t, w in rows if t is not None]
+
+
+def test_a_very_long_text_and_odd_names(spark):
+    df = spark.createDataFrame([(1, "licence " * 300_000, "x", "y"), (2, licenses.TEXTS["MIT"], "x", "y")], "doc_id long, text string, `a.b` string, digest string")
+    out = licenses.scan(df)
+    assert out.columns == [*df.columns, "license_digest", "license"] and {r["doc_id"]: r["license"] for r in out.collect()} == {1: None, 2: "MIT"}
