@@ -322,11 +322,11 @@ def dup_documents(spark: SparkSession, base: str) -> DataFrame:
 
 @query("blob_join", "SELECT page_id, url, octet_length(encode(html))::INT AS bytes FROM pages")
 def blob_join(spark: SparkSession, base: str) -> DataFrame:
-    """Pages stored as blobs, and their messages joined with the blobs again."""
+    """Pages stored as blobs, and their messages joined with the blobs again; an address may have several pages."""
     every = tables.pages(spark, base)
-    messages = tables.store_blobs(every, path := scratch(spark, "blobs"))
-    back = tables.with_content(messages, spark.read.parquet(path))
-    return back.join(every.select("page_id", "url"), "url").select("page_id", "url", F.octet_length("content").alias("bytes"))
+    messages = tables.store_blobs(every, path := scratch(spark, "blobs"), "page_id")
+    back = tables.with_content(messages, spark.read.parquet(path)).unionByName(every.where(F.col("content").isNull()))
+    return back.select("page_id", "url", F.octet_length("content").alias("bytes"))
 
 
 @query("vector_rows", "SELECT vec_id, 0 AS chunk_id, 'chunk ' || vec_id AS text, len(embedding)::INT AS dimensions FROM embeddings")

@@ -20,13 +20,14 @@ def blob_id(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def store_blobs(fetched: DataFrame, path: str) -> DataFrame:
-    """Appends the distinct contents of fetched (url, mime_type, content) to the blobs at path; returns their messages."""
+def store_blobs(fetched: DataFrame, path: str, *keys: str) -> DataFrame:
+    """Appends the distinct contents of fetched (url, mime_type, content) to the blobs at path; returns their messages,
+    with the columns `keys` of fetched. A row without content stores no blob and its message names none."""
     rows = fetched.withColumn("id", blob_id(F.col("content")))
     known = rows.sparkSession.read.schema(BLOBS).parquet(path) if _exists(rows.sparkSession, path) else None
-    fresh = rows.select("id", "content").dropDuplicates(["id"])
+    fresh = rows.select("id", "content").where(F.col("id").isNotNull()).dropDuplicates(["id"])
     (fresh if known is None else fresh.join(known.select("id"), "id", "left_anti")).write.mode("append").parquet(path)
-    return rows.select("url", F.col("id").alias("blob_id"), "mime_type")
+    return rows.select("url", F.col("id").alias("blob_id"), "mime_type", *keys)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -48,8 +49,9 @@ def from_messages(values: DataFrame, schema: T.StructType) -> tuple[DataFrame, D
 
 
 def with_content(messages: DataFrame, blobs: DataFrame) -> DataFrame:
-    """(url, mime_type, content) of messages whose blob exists; lost_blobs has the others."""
-    return messages.join(blobs.select(F.col("id").alias("blob_id"), "content"), "blob_id").select("url", "mime_type", "content")
+    """(url, mime_type, content) of messages whose blob exists, and what other columns they have; lost_blobs has the others."""
+    kept = [c for c in messages.columns if c != "blob_id"]
+    return messages.join(blobs.select(F.col("id").alias("blob_id"), "content"), "blob_id").select(*kept, "content")
 
 
 def lost_blobs(messages: DataFrame, blobs: DataFrame) -> DataFrame:

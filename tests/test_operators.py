@@ -9,7 +9,7 @@ from lodespan import streaming
 from lodespan.engine import Engine
 from lodespan.functions import text
 from lodespan.operators import crawl, frontier, pages, robots, search, vectors
-from lodespan.plans import fixtures
+from lodespan.plans import corpus, fixtures
 from lodespan.schemas import DOCUMENT_MESSAGE, FRONTIER
 from lodespan.sources import tables
 
@@ -237,3 +237,10 @@ def test_more_queries_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(vectors, "MOST_QUERIES", 4)
     dealt = sorted(map(tuple, vectors.nearest_of_many(rows, asked.withColumnRenamed("vec_id", "query_id"), 3, "vec_id", "query_id").collect()))
     assert len(whole) == 30 and dealt == whole
+
+
+def test_pages_of_one_address_keep_their_own_blobs(spark, tmp_path):
+    rows = [(1, "https://e.com/a", "<p>one"), (2, "https://e.com/a", "<p>three"), (3, "https://e.com/b", "<p>one"), (4, "https://e.com/b", "<p>one"), (5, "https://e.com/c", None), (6, None, "<p>\u00fc"), (7, "https://e.com/d", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = corpus.blob_join(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(i, url, None if html is None else len(html.encode())) for i, url, html in rows]
