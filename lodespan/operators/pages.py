@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,9 +33,9 @@ def _map(df: DataFrame, made: str, arrow: pa.DataType, spark_type: T.DataType, f
     return df.mapInArrow(run, T.StructType([df.schema[n] for n in names] + [T.StructField(made, spark_type)]))
 
 
-def _parsed(content: bytes, mime_type: str, url: str) -> dict:
+def _parsed(content: bytes, mime_type: str, url: str, written: bool) -> dict:
     try:
-        found = extract.parse(content, mime_type, url)
+        found = extract.parse(content, mime_type, url, written)
     except extract.BadPdf as error:
         return {"text": None, "title": None, "description": None, "error": str(error)}
     return {"text": found.text, "title": found.title, "description": found.description, "error": None}
@@ -43,12 +44,13 @@ def _parsed(content: bytes, mime_type: str, url: str) -> dict:
 _STRUCT = T.StructType([T.StructField(n, T.StringType()) for n in ("text", "title", "description", "error")])
 
 
-def parse(pages: DataFrame) -> DataFrame:
+def parse(pages: DataFrame, written: bool = False) -> DataFrame:
     """Pages (url, mime_type, content binary, ...) with text, title, description and error in place of content.
 
-    A PDF that can't be read has no text but an error. Null content gives nulls.
+    A PDF that can't be read has no text but an error. Null content gives nulls. If written, titles and references of HTML
+    stay as they are written (extract.parse_html).
     """
-    made = _map(pages, "parsed", pa.struct([(n, pa.string()) for n in _STRUCT.names]), _STRUCT, _parsed)
+    made = _map(pages, "parsed", pa.struct([(n, pa.string()) for n in _STRUCT.names]), _STRUCT, partial(_parsed, written=written))
     return made.select("*", "parsed.*").drop("parsed")
 
 

@@ -157,7 +157,8 @@ SELECT page_id, replace(replace(replace(replace(replace(replace(replace(array_to
   nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title, NULL::VARCHAR AS description, NULL::VARCHAR AS error FROM pages
 """)
 def page_text(spark: SparkSession, base: str) -> DataFrame:
-    return pages.parse(tables.pages(spark, base)).select("page_id", "text", "title", "description", "error")
+    """Text and title as they are written, as the SQL has them; `pages.parse` follows the HTML standard otherwise."""
+    return pages.parse(tables.pages(spark, base), written=True).select("page_id", "text", "title", "description", "error")
 
 
 _LINKS = r"""

@@ -83,6 +83,14 @@ def test_html():
     assert extract.links(b'<a href="/x">', "text/html", "bad") == []
 
 
+def test_html_as_written():
+    content = "<title> a &am </title><meta name='description' content='R&amp;D &amp'><p>&lt;&#233;&eacute;&eacute &ampx; &nosuch; &amp<script>a &amp;& b</script>"
+    page = extract.parse_html(content, written=True)
+    assert (page.title, page.description) == ("a &am", "R&D &amp") and page.text == " a &am  <éé&eacute &ampx; &nosuch; &amp a &amp;& b"
+    page = extract.parse_html(content)
+    assert (page.title, page.description) == ("a &amp;am", "R&D &") and page.text == " a &am  <ééé &x; &nosuch; & a &amp;& b"
+
+
 def test_xml():
     assert extract.links(fixtures.SITEMAP.encode(), "application/xml", "https://island.test/sitemap.xml") == ["https://island.test/ferries", "https://island.test/tides/today"]
     feed = extract.parse(fixtures.FEED.encode(), "text/xml", "https://example.com/feed")

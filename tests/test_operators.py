@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +245,16 @@ def test_pages_of_one_address_keep_their_own_blobs(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = corpus.blob_join(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(i, url, None if html is None else len(html.encode())) for i, url, html in rows]
+
+
+@pytest.mark.parametrize("name", ["page_text"])
+def test_cut_references_are_as_in_the_sql(spark, tmp_path, name):
+    ends = ["&", "&a", "&am", "&amp", "&amp;", "&quo", "&quot", "&quot;", "&lt; x &gt;", " ", ""]
+    rows = [(i, "https://e.com/a", f"<html><title>Fog &amp;{end}</title><body><h1>Fog &amp;{end}</h1><script>f(1 && 2)</script><p>x&copy;y &amp;lt; z{end}</p><a href='/b'>b</a></body></html>") for i, end in enumerate(ends)]
+    rows += [(90, "https://e.com/b", "<p>no title"), (91, "https://e.com/c", "<title>  </title>"), (92, "https://e.com/d", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {tuple(r) for r in corpus.QUERIES[name](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = set(con.execute(corpus.ORACLES[name]).fetchall())
+    assert len(got) == len(rows) and got == want
