@@ -145,7 +145,8 @@ def robots_urls(spark: SparkSession, base: str) -> DataFrame:
 
 @query("page_titles", r"SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title FROM pages")
 def page_titles(spark: SparkSession, base: str) -> DataFrame:
-    return pages.parse(tables.pages(spark, base)).select("page_id", "title")
+    """Titles as they are written, as the SQL has them."""
+    return pages.parse(tables.pages(spark, base), written=True).select("page_id", "title")
 
 
 # A script's body is text; what looks like a tag in it is hidden while the tags are cut away.

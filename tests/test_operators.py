@@ -247,7 +247,7 @@ def test_pages_of_one_address_keep_their_own_blobs(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(i, url, None if html is None else len(html.encode())) for i, url, html in rows]
 
 
-@pytest.mark.parametrize("name", ["page_text"])
+@pytest.mark.parametrize("name", ["page_text", "page_titles"])
 def test_cut_references_are_as_in_the_sql(spark, tmp_path, name):
     ends = ["&", "&a", "&am", "&amp", "&amp;", "&quo", "&quot", "&quot;", "&lt; x &gt;", " ", ""]
     rows = [(i, "https://e.com/a", f"<html><title>Fog &amp;{end}</title><body><h1>Fog &amp;{end}</h1><script>f(1 && 2)</script><p>x&copy;y &amp;lt; z{end}</p><a href='/b'>b</a></body></html>") for i, end in enumerate(ends)]
