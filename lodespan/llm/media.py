@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,8 @@ WIDTH, ROWS, DELAY = 64, 1024, 4
 BINS = 16
 #: A reader refuses canvases of more samples than this, as a damaged header may ask for 12 GB.
 MOST_CANVAS = 1 << 26
+#: Rows, and bytes that went into them, of a batch that a worker returns.
+PART_ROWS, PART_BYTES = 200, 1 << 22
 
 CLEAR, END, FIRST, FULL = 256, 257, 258, 4096
 
@@ -256,19 +259,33 @@ _GIF_ARROW = pa.struct([
     ("frames", pa.list_(pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("disposal", pa.int32()), ("histogram", pa.list_(pa.int64()))]))),
     ("error", pa.string()),
 ])
+_MEDIA, _IMAGE = (T.BinaryType(), pa.binary()), (GIF, _GIF_ARROW)
 
 
-def _map(df: DataFrame, source: str, made: str, kind: T.DataType, arrow: pa.DataType, function) -> DataFrame:
+def _parts(values: pa.Array) -> Iterator[tuple[int, int]]:
+    """Start and number of neighbouring values that are written as one batch: at most PART_ROWS, and PART_BYTES unless one alone has more."""
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = 0
+    while start < len(sizes):
+        within = np.searchsorted(np.cumsum(sizes[start : start + PART_ROWS]), PART_BYTES, side="right")
+        yield start, (count := max(1, int(within)))
+        start += count
+
+
+def _map(df: DataFrame, source: str, made: dict[str, tuple[T.DataType, pa.DataType]], function) -> DataFrame:
+    """Replaces the column source by those of made, of which function returns a tuple; null gives nulls."""
     make_importable(df.sparkSession)
-    names = [c for c in df.columns if c not in (source, made)]
-    schema = T.StructType([df.schema[n] for n in names] + [T.StructField(made, kind)])
+    names = [c for c in df.columns if c != source and c not in made]
+    schema = T.StructType([df.schema[n] for n in names] + [T.StructField(n, kind) for n, (kind, _) in made.items()])
+    arrow = [kind for _, kind in made.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 200):
-                batch = whole.slice(start, 200)
-                values = pa.array([None if x is None else function(x) for x in batch.column(source).to_pylist()], arrow)
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), values], [*names, made])
+            for start, count in _parts(whole.column(source)):
+                batch = whole.slice(start, count)
+                rows = [(None,) * len(arrow) if x is None else function(x) for x in batch.column(source).to_pylist()]
+                values = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(arrow)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *values], [*names, *made])
 
     return df.mapInArrow(run, schema)
 
@@ -279,7 +296,7 @@ def store(df: DataFrame, payload: str = "payload", media: str = "media") -> Data
     Payloads must be positive multiples of WIDTH bytes (see `padded`); null stays null. Other columns, ties and repeated
     rows pass through; an empty table gives an empty table.
     """
-    return _map(df, payload, media, T.BinaryType(), pa.binary(), write_gif)
+    return _map(df, payload, {media: _MEDIA}, lambda x: (write_gif(x),))
 
 
 def _read_or_say(data: bytes) -> dict:
@@ -294,7 +311,21 @@ def load(df: DataFrame, media: str = "media", image: str = "image") -> DataFrame
 
     Bytes that aren't a readable GIF give only an error text; null stays null.
     """
-    return _map(df, media, image, GIF, _GIF_ARROW, _read_or_say)
+    return _map(df, media, {image: _IMAGE}, lambda x: (_read_or_say(x),))
+
+
+def _there_and_back(data: bytes) -> tuple[bytes, dict]:
+    stored = write_gif(data)
+    return stored, _read_or_say(stored)
+
+
+def round_trip(df: DataFrame, payload: str = "payload", media: str = "media", image: str = "image") -> DataFrame:
+    """Replaces the binary column payload by media and image: `load` of what `store` gives, in one pass of one worker.
+
+    The image is read from the stored bytes alone. One after the other, `store` and `load` keep twice the workers and send
+    the media to Python once more.
+    """
+    return _map(df, payload, {media: _MEDIA, image: _IMAGE}, _there_and_back)
 
 
 def padded(data: Column, unit: int = WIDTH) -> Column:
@@ -316,18 +347,16 @@ def described(image: Column) -> Column:
 def digests(df: DataFrame) -> DataFrame:
     """The media columns' digests of each row of documents, from the payload as read back."""
     data = F.col("text").cast("binary")
-    stored = store(df.select("doc_id", F.octet_length(F.coalesce(data, F.lit(b""))).cast("long").alias("n_bytes"), padded(data).alias("payload")))
-    kept = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
-    read = load(kept)
+    coded = round_trip(df.select("doc_id", F.octet_length(F.coalesce(data, F.lit(b""))).cast("long").alias("n_bytes"), padded(data).alias("payload")))
     payload = F.col("image.samples")
-    return read.select(
+    return coded.select(
         "doc_id",
         "n_bytes",
         F.octet_length(payload).cast("long").alias("payload_bytes"),
         F.sha2(payload, 256).alias("payload_sha256"),
         F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"),
-        "media_bytes",
-        "media_sha256",
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
         described(F.col("image")).alias("feature"),
         F.size("image.frames").alias("n_frames"),
         F.col("image.error").alias("error"),

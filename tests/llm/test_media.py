@@ -5,6 +5,7 @@ import random
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from lodespan.llm import media
@@ -90,3 +91,22 @@ def test_rows(spark):
     assert media.digests(df.limit(0)).count() == 0
     broken = spark.createDataFrame([(1, bytearray(b"GIF")), (2, None)], "doc_id long, media binary")
     assert [r["image"] and r["image"]["error"] for r in media.load(broken).orderBy("doc_id").collect()] == ["no GIF header", None]
+
+
+def test_one_worker_stores_and_reads(spark):
+    df = spark.createDataFrame([(1, "one"), (2, None)], "doc_id long, text string")
+    plan = media.digests(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    rows = [(1, bytearray(b"a" * 64)), (2, None)]
+    payloads = spark.createDataFrame(rows, "id long, payload binary")
+    got = media.round_trip(payloads).orderBy("id").collect()
+    apart = media.load(media.store(payloads)).orderBy("id").collect()
+    assert [r["image"] for r in got] == [r["image"] for r in apart] and got[1]["media"] is None
+    assert got[0]["media"] == media.write_gif(b"a" * 64) and got[0]["image"]["samples"] == b"a" * 64
+
+
+def test_returned_batches_are_bounded_by_bytes():
+    large, most = b"x" * (media.PART_BYTES // 2 + 1), media.PART_ROWS
+    parts = lambda values: [n for _, n in media._parts(pa.array(values, pa.binary()))]
+    assert parts([large] * 3) == [1, 1, 1] and parts([large * 4, b"", large]) == [1, 2]
+    assert parts([b"", None] * most) == [most, most] and parts([]) == []
